@@ -17,7 +17,7 @@ WORDS, PERCENT = 4, 85
 SLICE = 1 << 20
 #: Signatures (16 bytes) that a task gathers before it sends them on, and that a bucket holds on average.
 FLUSH, BUCKET = 1 << 20, 1 << 20
-BITS = 1024
+BITS = 2048
 #: Members of a tile's block: a task compares two blocks at a time.
 BLOCK = 2048
 MAX_BROADCAST_IDS = 2_000_000
@@ -130,13 +130,14 @@ def signatures(u: np.ndarray, percent: int = PERCENT, banded: bool = True) -> tu
 
 
 def bitmap(u: np.ndarray, bits: int = BITS) -> bytes:
-    b = np.zeros(bits, np.uint8)
-    b[((u * _ODD[40]) >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)] = 1
-    return np.packbits(b).tobytes()
+    """Each bit tells whether an odd number of elements hash to it: what two sets share cancels in their xor."""
+    place = ((u * _ODD[40]) >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def may_link(a_n, b_n, a_bits: np.ndarray, b_bits: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Sizes and bitmaps (as uint64 rows) that allow a link: bits that differ come from elements that differ."""
+    """Sizes and bitmaps (rows of uint64) that allow a link. A bit that differs needs an element that differs, so the
+    count of differing bits bounds the overlap from above: both <= (a + b - differing bits) / 2."""
     apart = np.bitwise_count(a_bits ^ b_bits).sum(-1, dtype=np.int64)
     both = (a_n + b_n - apart) // 2
     return (100 * np.minimum(a_n, b_n) >= percent * np.maximum(a_n, b_n)) & ((100 + percent) * both >= percent * (a_n + b_n))
@@ -153,7 +154,8 @@ def _set_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(u) for u in sets], pa.int64()), pa.array([set_id(u) for u in sets], pa.int64())], ["doc_id", "n", "set_id"])
+            columns = [pa.array([len(u) for u in sets], pa.int64()), pa.array([set_id(u) for u in sets], pa.int64()), pa.array([bitmap(u) for u in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "set_id", "bits"])
 
     return run
 
@@ -195,7 +197,8 @@ def _signature_rows(words: int, percent: int, buckets: int, banded: bool):
 
 
 def _tiles_of(table: pa.Table) -> pa.Table:
-    """Members of each signature that two sets or more have, with the lowest of them as centre."""
+    """Members of each signature that two sets or more have. A tile is named by its members, so that signatures with
+    the same members are one tile; of those only one is kept here."""
     sigs, ids = [], []
     for x in table.column("packed").to_pylist():
         half = len(x) // 2
@@ -204,13 +207,26 @@ def _tiles_of(table: pa.Table) -> pa.Table:
     sig, own = np.concatenate(sigs), np.concatenate(ids)
     order = np.lexsort((own, sig))
     sig, own = sig[order], own[order]
-    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])]) if len(sig) else np.zeros(0, bool)
-    sig, own = sig[new], own[new]
-    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-    size = np.diff(np.append(starts, len(sig)))
-    many = np.repeat(size > 1, size)
-    centre = np.repeat(own[starts], size) if len(starts) else own
-    return pa.table({"sig": sig[many].view(np.int64), "set_id": own[many], "centre": centre[many]})
+    if len(sig):
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])])
+        sig, own = sig[new], own[new]
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(np.append(starts, len(sig)))
+        name = mix(np.add.reduceat(mix(own.view(np.uint64) ^ _ODD[50]), starts) + size.astype(np.uint64))
+        _, first = np.unique(name, return_index=True)
+        once = np.zeros(len(starts), bool)
+        once[first] = True
+        keep = np.repeat(once & (size > 1), size)
+        tile, own = np.repeat(name, size)[keep], own[keep]
+    else:
+        tile = sig
+    return pa.table({"tile": tile.view(np.int64), "set_id": own})
+
+
+def _tiles_or_flag(table: pa.Table) -> pa.Table:
+    if table.column("bucket")[0].as_py() < 0:
+        return pa.table({"tile": pa.array([None], pa.int64()), "set_id": pa.array([None], pa.int64())})
+    return _tiles_of(table)
 
 
 def _wanted_sets(words: int):
@@ -221,27 +237,12 @@ def _wanted_sets(words: int):
             ids = [set_id(u) for u in sets]
             keep = [i for i, w in enumerate(wanted) if w is None or w == ids[i]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in keep], pa.int64()), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([bitmap(sets[i]) for i in keep], pa.binary()), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
-                ["set_id", "n", "bits", "shingles"],
+                [pa.array([ids[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["set_id", "shingles"]
             )
 
     return run
 
 
-def _as_bits(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
-
-
-def _by_bitmap(percent: int):
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                ok = may_link(b.column("a_n").to_numpy(), b.column("b_n").to_numpy(), _as_bits(b.column("a_bits")), _as_bits(b.column("b_bits")), percent)
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
-
-    return run
-
-
 def _by_shingles(percent: int):
     def run(batches):
         for b in batches:
@@ -252,19 +253,24 @@ def _by_shingles(percent: int):
     return run
 
 
-def _tile_pairs(percent: int):
-    """Rows come by tile. All pairs of a tile from different components (and blocks, in a tile of two) whose bitmaps allow a link."""
+def _tile_pairs(percent: int, forest: bool):
+    """Rows come by tile. Pairs of a tile's members from different components (and blocks, in a tile of two) whose
+    bitmaps allow a link: all of them, or only so many that they connect what all of them connect."""
 
     def compare(rows: list[tuple]) -> list[tuple[int, int]]:
         ids, comp, n, block = (np.array([r[k] for r in rows], np.int64) for k in range(4))
         bits = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(-1, BITS // 64)
-        two = block.min() != block.max()
+        two = block[0] != block[-1] or (block != block[0]).any()
         found = []
         for i in range(len(ids) - 1):
-            j = np.arange(i + 1, len(ids))
-            j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) | (not two))]
+            j = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((block[i + 1 :] != block[i]) if two else True)) + i + 1
             if len(j):
                 j = j[may_link(n[j], n[i], bits[j], bits[i], percent)]
+            if len(j):
+                if forest:
+                    parts, first = np.unique(comp[j], return_index=True)
+                    comp[np.isin(comp, parts)] = comp[i]
+                    j = j[first]
                 found += [(min(ids[i], ids[x]), max(ids[i], ids[x])) for x in j]
         return found
 
@@ -319,67 +325,95 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
 
 # ---- join
 
-def similar_sets(docs: DataFrame, sets: DataFrame, total_shingles: int, words: int, percent: int) -> DataFrame | None:
-    """a, b: set ids whose links, together, connect exactly what all links connect. None without any candidates."""
-    spark = docs.sparkSession
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiles = None
+def tile_table(docs: DataFrame, total_shingles: int, words: int, percent: int) -> DataFrame:
+    """tile, set_id: sets that share a signature; should the bands' guarantee fail for any set, all sets go unbanded."""
+    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for banded in (True, False):
         buckets = max(shuffles, int(total_shingles * 0.25) // BUCKET)
         packed = docs.mapInArrow(_signature_rows(words, percent, buckets, banded), "bucket long, packed binary")
-        found = packed.groupBy("bucket").applyInArrow(lambda t: _tiles_or_flag(t), "sig long, set_id long, centre long")
-        tiles = written(found, "ngram_tiles")
-        if not tiles.where("sig is null").limit(1).count():
+        tiles = written(packed.groupBy("bucket").applyInArrow(lambda t: _tiles_or_flag(t), "tile long, set_id long").distinct(), "ngram_tiles")
+        if not tiles.where("tile is null").limit(1).count():
             break
-    if not tiles.limit(1).count():
+    return tiles
+
+
+def blocked(members: DataFrame, percent: int) -> DataFrame:
+    """Members of tiles (tile, set_id, n, ...) with block: tiles of over BLOCK members become pairs of blocks by size.
+
+    Blocks follow the members' sizes; two blocks meet only if their sizes allow a link, and each meets itself.
+    """
+    sizes = members.groupBy("tile").agg(F.count("*").alias("members"))
+    big = written(sizes.where(F.col("members") > BLOCK), "ngram_big")
+    few = F.broadcast(big) if big.count() <= MAX_BROADCAST_IDS else big
+    small = members.join(few, "tile", "left_anti").withColumn("block", F.lit(0).cast("long"))
+    rank = Window.partitionBy("tile").orderBy("n", "set_id")
+    large = members.join(few.select("tile"), "tile", "left_semi")
+    large = written(large.withColumn("block", F.floor((F.row_number().over(rank) - 1) / BLOCK).cast("long")), "ngram_large")
+    ranges = large.groupBy("tile", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    x, y = ranges.select("tile", F.col("block").alias("i"), F.col("hi").alias("x")), ranges.select("tile", F.col("block").alias("j"), F.col("lo").alias("y"))
+    blocks = x.join(y, "tile").where(f"i <= j and 100 * x >= {percent} * y").select("tile", "i", "j")
+    sides = blocks.select("tile", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
+    pieces = large.join(sides, ["tile", "block"]).withColumn("tile", F.xxhash64("tile", "i", "j")).select(*members.columns, "block")
+    return small.unionByName(pieces)
+
+
+def similar_sets(docs: DataFrame, rows: DataFrame, sets: DataFrame, total_shingles: int, words: int, percent: int, rounds: int = 4) -> DataFrame | None:
+    """a, b: links of set ids that connect exactly what all links connect. None without any.
+
+    Every round takes the tiles with members of different components and gives pairs that connect, within each
+    tile, what the bitmaps allow; those are checked exactly and the components renewed. When a round adds
+    nothing, all remaining pairs that the bitmaps allow are checked, so that no link is missed.
+    """
+    tiles = tile_table(docs, total_shingles, words, percent)
+    light = rows.join(tiles.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    light = written(light, "ngram_light")
+    members = written(blocked(tiles.join(light.select("set_id", "n"), "set_id").select("tile", "set_id", "n"), percent), "ngram_members")
+
+    def candidates(comp: DataFrame | None, forest: bool) -> DataFrame:
+        named = members.withColumn("comp", F.col("set_id"))
+        if comp is not None:
+            named = members.join(comp, F.col("set_id") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "set_id")).drop("node", "root")
+            mixed = named.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tile")
+            named = named.join(mixed, "tile", "left_semi")
+        tiled = named.join(light.select("set_id", "bits"), "set_id").select("tile", "set_id", "comp", "n", "block", "bits")
+        tiled = tiled.repartition("tile").sortWithinPartitions("tile", "set_id")
+        return tiled.mapInArrow(_tile_pairs(percent, forest), "a long, b long").distinct()
+
+    pairs = written(candidates(None, True), "ngram_pairs")
+    if not pairs.limit(1).count():
         return None
-    involved = tiles.select("set_id").distinct().join(sets, "set_id").select(F.col("rep").alias("doc_id"), "set_id")
-    involved = written(involved, "ngram_involved")
-    texts = docs.join(bounded_broadcast(involved, involved.count(), MAX_BROADCAST_IDS), "doc_id")
-    shape = "set_id long, n long, bits binary, shingles binary"
+    full = _shingles_of(docs, rows, sets, pairs, words)
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        one = full.select(F.col("set_id").alias("a"), F.col("shingles").alias("a_s"))
+        two = full.select(F.col("set_id").alias("b"), F.col("shingles").alias("b_s"))
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "a_s", "b_s").mapInArrow(_by_shingles(percent), "a long, b long").distinct()
+
+    found = written(exact(pairs), "ngram_links")
+    for k in range(rounds):
+        comp = written(components(found), "ngram_parts")
+        more = written(exact(candidates(comp, forest=k < rounds - 1)), "ngram_links")
+        if more.limit(1).count():
+            found = found.union(more)
+        elif k < rounds - 1:
+            return found.union(written(exact(candidates(comp, forest=False)), "ngram_links"))
+    return found
+
+
+def _shingles_of(docs: DataFrame, rows: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """set_id, shingles of all sets in pairs. Any set with a partner that its bitmap allows is in the first round's pairs."""
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(sets, "set_id")
+    involved = written(involved.select(F.col("rep").alias("doc_id"), "set_id"), "ngram_involved")
+    texts = docs.join(bounded_broadcast(involved, involved.count(), MAX_BROADCAST_IDS), "doc_id").select("doc_id", "text", "set_id")
+    shape = "set_id long, shingles binary"
     full = texts.mapInArrow(_wanted_sets(words), shape)
     nameless = involved.where("doc_id is null").select("set_id")  # sets that only rows without id have
     if nameless.limit(1).count():
         more = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("set_id"))
-        full = full.union(more.mapInArrow(_wanted_sets(words), shape).join(nameless, "set_id", "left_semi"))
-    full = written(full.dropDuplicates(["set_id"]), "ngram_sets")
-    light = full.select("set_id", "n", "bits")
-
-    def side(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
-        own = full.select(F.col("set_id").alias(by), *[F.col(c).alias(f"{by}_{'s' if c == 'shingles' else c}") for c in columns])
-        return df.join(own, by)
-
-    def exact(pairs: DataFrame, bitmaps: bool) -> DataFrame:
-        if bitmaps:
-            pairs = side(side(pairs, "a", ["n", "bits"]), "b", ["n", "bits"]).mapInArrow(_by_bitmap(percent), "a long, b long")
-        return side(side(pairs, "a", ["shingles"]), "b", ["shingles"]).mapInArrow(_by_shingles(percent), "a long, b long")
-
-    stars = tiles.where("set_id <> centre").select(F.col("centre").alias("a"), F.col("set_id").alias("b")).distinct()
-    first = written(exact(stars, True), "ngram_links")
-    comp = written(components(first), "ngram_parts")
-    named = tiles.select("sig", "set_id").join(light.select("set_id", "n"), "set_id").join(comp, F.col("set_id") == F.col("node"), "left")
-    named = named.select("sig", "set_id", "n", F.coalesce("root", "set_id").alias("comp"))
-    mixed = named.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low <> high").select("sig", "members")
-    members = written(named.join(mixed, "sig"), "ngram_members")
-    rank = Window.partitionBy("sig").orderBy("n", "set_id")
-    small = members.where(F.col("members") <= BLOCK).withColumn("block", F.lit(0).cast("long"))
-    large = members.where(F.col("members") > BLOCK).withColumn("block", F.floor((F.row_number().over(rank) - 1) / BLOCK).cast("long"))
-    large = written(large, "ngram_large")
-    ranges = large.groupBy("sig", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = ranges.select("sig", F.col("block").alias("i"), F.col("hi").alias("x")), ranges.select("sig", F.col("block").alias("j"), F.col("lo").alias("y"))
-    blocks = x.join(y, "sig").where(f"i <= j and 100 * x >= {percent} * y").select("sig", "i", "j")
-    sides = blocks.select("sig", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
-    pieces = large.join(sides, ["sig", "block"]).select(F.xxhash64("sig", "i", "j").alias("tile"), "set_id", "comp", "n", "block")
-    every = small.select(F.xxhash64("sig").alias("tile"), "set_id", "comp", "n", "block").unionByName(pieces).join(light.select("set_id", "bits"), "set_id")
-    tiled = every.repartition("tile").sortWithinPartitions("tile")
-    second = written(exact(tiled.select("tile", "set_id", "comp", "n", "block", "bits").mapInArrow(_tile_pairs(percent), "a long, b long").distinct(), False), "ngram_links")
-    return first.union(second)
-
-
-def _tiles_or_flag(table: pa.Table) -> pa.Table:
-    if table.column("bucket")[0].as_py() < 0:
-        return pa.table({"sig": pa.array([None], pa.int64()), "set_id": pa.array([None], pa.int64()), "centre": pa.array([None], pa.int64())})
-    return _tiles_of(table)
+        full = full.union(more.mapInArrow(_wanted_sets(words), shape).join(nameless, "set_id", "left_semi")).dropDuplicates(["set_id"])
+    elif rows.groupBy("doc_id").count().where("count > 1").limit(1).count():  # ids that repeat may bring a set twice
+        full = full.dropDuplicates(["set_id"])
+    return written(full, "ngram_sets")
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -387,10 +421,11 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     Documents link when the Jaccard similarity of their sets of distinct shingles is percent / 100 or more. Equal
     sets are one class, told by a 64-bit sum over the set; only one set per class goes on. Sets that may link share a
-    signature, which makes a tile. First each member is compared with its tile's centre: bitmaps bound the overlap
-    from above, then sorted arrays are intersected. What links is one component; only pairs of tile members in different
-    components can still add a link that matters, and all of those are compared, in blocks by size where a tile is
-    large. So no link is lost and a large group of copies costs as much as its members, not their pairs.
+    signature, which makes a tile (in blocks by size where it is large). In a tile bitmaps bound the overlap from
+    above; of the pairs they allow, those that connect the members go on and are checked by intersecting sorted
+    arrays. What links is one component; then only pairs of tile members in different components matter, and all
+    of those that bitmaps allow are checked in the end. So no link is lost, and a large group of copies costs
+    about as much as its members, not their pairs.
 
     Null and empty texts have no shingles and link with nothing. Rows that repeat an id stand for their texts each;
     a null id is named by the smallest other id of its component, or stays null. Empty tables give empty results;
@@ -399,17 +434,17 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     spark = docs.sparkSession
     prepare(spark)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(narrow.mapInArrow(_set_rows(words), "doc_id long, n long, set_id long"), "ngram_rows")
+    rows = written(narrow.mapInArrow(_set_rows(words), "doc_id long, n long, set_id long, bits binary"), "ngram_rows")
     sets = written(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "ngram_classes")
     totals = rows.agg(F.count("*"), F.sum("n")).first()
-    found = similar_sets(narrow, sets, int(totals[1] or 0), words, percent) if totals[1] else None
+    found = similar_sets(narrow, rows, sets, int(totals[1] or 0), words, percent) if totals[1] else None
     classes = sets.select(F.hex("set_id").alias("g"), "rep", "copies")
     if found is not None:
         comp = written(components(found), "ngram_components")
         of = sets.join(comp, F.col("set_id") == F.col("node"), "left").select("set_id", "rep", "copies", F.coalesce("root", "set_id").alias("root"))
         low = of.where("rep is not null").groupBy("root").agg(F.min("rep").alias("low"))
         classes = of.join(low, "root", "left").select(F.hex("set_id").alias("g"), F.col("low").alias("rep"), "copies")
-    keyed = rows.withColumn("g", F.when(F.col("n") > 0, F.hex("set_id")).otherwise(F.concat(F.lit("empty "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    keyed = rows.drop("bits").withColumn("g", F.when(F.col("n") > 0, F.hex("set_id")).otherwise(F.concat(F.lit("empty "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     out = attach_groups(keyed, classes, "g", "copies", totals[0], F.concat(F.lit("row "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
