@@ -1,0 +1 @@
+"""Analytics over rights-reservation evidence in image and text corpora, as DataFrame operators."""
