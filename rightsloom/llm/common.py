@@ -7,36 +7,20 @@ import os
 import shutil
 import tempfile
 import uuid
-import weakref
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import prepare
+
+__all__ = ["prepare", "WORD", "shared_dir", "written", "bounded_broadcast", "attach_groups", "lower_ascii", "documents", "tokenizer_path"]
+
 #: A word: a run without ASCII white space (space, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
 
-_shipped: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
 _own_dirs: dict[str, str] = {}
 
 
-def prepare(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that workers can import it."""
-    sc = spark.sparkContext
-    if sc in _shipped:
-        return
-    root = Path(__file__).resolve().parents[2]
-    folder = Path(tempfile.mkdtemp())
-    target = folder / f"rightsloom_{uuid.uuid4().hex[:8]}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted((root / "rightsloom").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    sc.addPyFile(str(target))
-    _shipped[sc] = str(target)
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
