@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, tokenizer_path
+from .common import prepare, small, tokenizer_path
 from .token_counts import counter
 
 #: A white-space byte ends a chunk unless three bits of the rolling hash over the last four bytes are 0: seven in eight do.
@@ -21,10 +21,10 @@ CUT_BITS = 7
 #: Runs without a cut of over so many bytes are cut at hash positions too, and their joins repaired.
 LONG = 4096
 LONG_BITS = 0x3FF
-#: Chunks that a worker remembers, in each of two generations (about 350 bytes each).
+#: Chunks that a worker remembers, in each of two generations (about 200 bytes each).
 MEMO = 200_000
 #: Pre-tokens that a worker remembers.
-MEMO_PRE_TOKENS = 500_000
+MEMO_PRE_TOKENS = 400_000
 
 _GEAR = np.random.default_rng(20240901).integers(0, 2**32, 256, dtype=np.uint32)
 _WHITE = np.zeros(256, bool)
@@ -60,15 +60,19 @@ class ChunkEncoder:
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.library.id_to_token(i) for i in range(size)]
         self.specials = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.young: dict[bytes, tuple[bytes, str]] = {}
-        self.old: dict[bytes, tuple[bytes, str]] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.rules = counter(path)
-        self.pre_tokens: dict[str, tuple[bytes, str]] = {}
+        self.pre_tokens: dict[str, bytes] = {}
         self.looked_up = self.encoded = 0
 
-    def _value(self, ids) -> tuple[bytes, str]:
-        tokens = self.tokens
-        return np.asarray(ids, "<u4").tobytes(), " ".join([tokens[i] for i in ids])
+    @staticmethod
+    def _value(ids) -> bytes:
+        return np.asarray(ids, "<u4").tobytes()
+
+    def decode(self, ids: bytes) -> str:
+        """As the library's decode(ids, skip_special_tokens=False) with a file without decoder: tokens joined by spaces."""
+        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """Places of white-space bytes that end a chunk."""
@@ -76,8 +80,8 @@ class ChunkEncoder:
             return np.zeros(0, np.int64)
         return np.flatnonzero(_WHITE[data] & ((rolling_hash(data) >> np.uint32(28)) & np.uint32(CUT_BITS) != 0))
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Per text its ids as little-endian 32-bit integers, and the decoded text."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Per text its ids as little-endian 32-bit integers."""
         parts, missing = [], {}
         young, old = self.young.get, self.old
         for t in texts:
@@ -105,11 +109,11 @@ class ChunkEncoder:
                         values[k] = fresh[chunks[k]]
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
-        return [(b"".join([v[0] for v in values]), " ".join([v[1] for v in values if v[1]])) for _, values in parts]
+        return [b"".join(values) for _, values in parts]
 
-    def _encode_chunks(self, chunks: list[bytes]) -> dict[bytes, tuple[bytes, str]]:
+    def _encode_chunks(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """New chunks: pre-tokens of plain texts are merged once per worker as well, other chunks go to the library."""
-        out: dict[bytes, tuple[bytes, str]] = {}
+        out: dict[bytes, bytes] = {}
         split, unsafe, known = self.rules.split, self.rules.unsafe.search, self.pre_tokens
         parts, plain, fresh = [], [], {}
         for c in chunks:
@@ -130,29 +134,26 @@ class ChunkEncoder:
         words = list(fresh)
         found = dict(zip(words, self._batch(words), strict=True))
         for c, pieces in parts:
-            values = [known.get(p) or found[p] for p in pieces]
-            out[c] = values[0] if len(values) == 1 else (b"".join([v[0] for v in values]), " ".join([v[1] for v in values]))
+            out[c] = b"".join([known.get(p) or found[p] for p in pieces])
         out.update(zip([c for c, _ in plain], self._batch([t for _, t in plain]), strict=True))
         if len(known) > MEMO_PRE_TOKENS:
             known.clear()
         known.update((p, v) for p, v in found.items() if len(p) <= 64)
         return out
 
-    def _batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
+    def _batch(self, texts: list[str]) -> list[bytes]:
         """Texts go to the library many at a time, with a special token between that none of them contains."""
         out = []
         mark = self.specials[0].decode()
         mark_id = self.library.token_to_id(mark)
         groups = [texts[i : i + 256] for i in range(0, len(texts), 256)]
         found = self.library.encode_batch_fast([mark.join(g) for g in groups], add_special_tokens=False)
-        tokens = self.tokens
         for group, e in zip(groups, found, strict=True):
-            ids = e.ids
-            flat = np.asarray(ids, "<u4")
-            raw, ends = flat.tobytes(), [*np.flatnonzero(flat == mark_id).tolist(), len(ids)]
+            flat = np.asarray(e.ids, "<u4")
+            raw, ends = flat.tobytes(), [*np.flatnonzero(flat == mark_id).tolist(), len(flat)]
             start = 0
             for _, end in zip(group, ends, strict=True):
-                out.append((raw[4 * start : 4 * end], " ".join([tokens[i] for i in ids[start:end]])))
+                out.append(raw[4 * start : 4 * end])
                 start = end + 1
         return out
 
@@ -243,18 +244,16 @@ def _encoded(docs: DataFrame, path: str | None, id_col: str, text_col: str, dige
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):  # a few documents' ids at a time
-                batch = whole.slice(at, 256)
-                found = own.encode([t or "" for t in batch.column("text").to_pylist()])
-                n = pa.array([len(i) // 4 for i, _ in found], pa.int64())
-                if digests:
-                    columns = [pa.array([hashlib.sha256(i).hexdigest() for i, _ in found]), pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in found])]
-                    names = ["ids_sha256", "decoded_sha256"]
-                else:
-                    columns = [pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([t for _, t in found])]
-                    names = ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, *columns], ["doc_id", "n_tokens", *names])
+        for batch in small(batches):
+            found = own.encode([t or "" for t in batch.column("text").to_pylist()])
+            n = pa.array([len(i) // 4 for i in found], pa.int64())
+            if digests:
+                columns = [pa.array([hashlib.sha256(i).hexdigest() for i in found]), pa.array([hashlib.sha256(own.decode(i).encode()).hexdigest() for i in found])]
+                names = ["ids_sha256", "decoded_sha256"]
+            else:
+                columns = [pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in found], pa.list_(pa.int32())), pa.array([own.decode(i) for i in found])]
+                names = ["ids", "decoded"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, *columns], ["doc_id", "n_tokens", *names])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"))

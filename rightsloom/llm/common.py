@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 
-__all__ = ["prepare", "WORD", "shared_dir", "written", "bounded_broadcast", "attach_groups", "lower_ascii", "documents", "tokenizer_path"]
+__all__ = ["prepare", "WORD", "shared_dir", "written", "bounded_broadcast", "attach_groups", "small", "lower_ascii", "documents", "tokenizer_path"]
 
 #: A word: a run without ASCII white space (space, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,6 +65,13 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     return out.select(*rows.columns, *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in values])
 
 
+def small(batches, rows: int = 256):
+    """Arrow batches in slices of a few rows, so that a worker holds Python objects of those only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z. Letters beyond ASCII may change case too, never into ASCII: the two that would go the slow way."""
     slow = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import prepare, small, written
 
 MIN_DOCUMENTS = 10
 MIN_CHARS = 1
@@ -40,9 +40,9 @@ def _as_pairs(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _reference_batches(min_chars: int, sign: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 2048):
             counts: dict[bytes, int] = {}
-            for text in batch.column("text").to_pylist():
+            for text in (t.as_py() for t in batch.column("text")):
                 for key in {line_key(x, min_chars) for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n")}:
                     if key is not None:
                         counts[key] = counts.get(key, 0) + 1
@@ -55,7 +55,7 @@ def _reference_batches(min_chars: int, sign: int):
 
 
 def references(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS, sign: int = 1) -> DataFrame:
-    """hi, lo, n: in how many rows of docs each line key stands. Counted per Arrow batch, per task, then by key."""
+    """hi, lo, n: in how many rows of docs each line key stands. Counted per some thousand rows, per task, then by key."""
     prepare(docs.sparkSession)
     part = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_reference_batches(min_chars, sign), "hi long, lo long, n long")
     return part.groupBy("hi", "lo").agg(F.sum("n").alias("n"))
@@ -300,7 +300,7 @@ def _held_batches(held):
 
 def _line_batches(min_chars: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             docs, keys = [], []
             for doc, text in zip(batch.column("_doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = {k for x in text.encode("utf-8", "surrogatepass").split(b"\n") if (k := line_key(x, min_chars)) is not None}
@@ -319,7 +319,7 @@ def _dropping(text_col: str, min_chars: int, held, exceptions):
     def run(batches):
         filters = _opened(held) if held is not None else None
         wrong = exceptions.value if exceptions is not None else frozenset()
-        for batch in batches:
+        for batch in small(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(text_col).to_pylist()]
             lines = [t.split(b"\n") for t in texts]
             keys = [line_key(x, min_chars) for own in lines for x in own]
@@ -382,7 +382,9 @@ def deduplicated_documents(docs: DataFrame, min_documents: int = MIN_DOCUMENTS,
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT r, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
-k AS (SELECT *, translate(regexp_replace(line, '^[ 	-]+|[ 	-]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+k AS (SELECT *, translate(regexp_replace(line, '^[ 	-
+]+|[ 	-
+]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
 j AS (SELECT k.r, k.i, k.line, f.key IS NOT NULL AS gone FROM k LEFT JOIN f ON k.key = f.key),
 a AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS t FROM j GROUP BY r)

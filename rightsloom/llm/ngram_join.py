@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import attach_groups, bounded_broadcast, prepare, written
+from .common import attach_groups, bounded_broadcast, prepare, small, written
 
 WORDS, PERCENT = 4, 85
 #: Text that is hashed at a time, in bytes.
 SLICE = 1 << 20
 #: Signatures (16 bytes) that a task gathers before it sends them on, and that a bucket holds on average.
-FLUSH, BUCKET = 1 << 20, 1 << 20
+FLUSH, BUCKET = 1 << 18, 1 << 20
 BITS = 2048
 #: Members of a tile's block: a task compares two blocks at a time.
 BLOCK = 2048
@@ -152,7 +152,7 @@ def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 def _set_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             columns = [pa.array([len(u) for u in sets], pa.int64()), pa.array([set_id(u) for u in sets], pa.int64()), pa.array([bitmap(u) for u in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "set_id", "bits"])
@@ -174,7 +174,7 @@ def _signature_rows(words: int, percent: int, buckets: int, banded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         sigs, ids, size, unsure = [], [], 0, 0
-        for batch in batches:
+        for batch in small(batches):
             for u in shingle_sets(batch.column("text").to_pylist(), words):
                 own = set_id(u)
                 if not len(u) or own in seen:
@@ -231,7 +231,7 @@ def _tiles_or_flag(table: pa.Table) -> pa.Table:
 
 def _wanted_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             wanted = batch.column("set_id").to_pylist()
             ids = [set_id(u) for u in sets]
@@ -245,7 +245,7 @@ def _wanted_sets(words: int):
 
 def _by_shingles(percent: int):
     def run(batches):
-        for b in batches:
+        for b in small(batches, 1024):
             pairs = zip(b.column("a_s").to_pylist(), b.column("b_s").to_pylist(), strict=True)
             ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in pairs]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, small
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -122,7 +122,7 @@ _ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split(" ") for f in _FIGURES.split(", ")]
-    for batch in batches:
+    for batch in small(batches):
         found = [assess(t) for t in batch.column("text").to_pylist()]
         columns = [pa.array([x[n] for x in found], _ARROW[t]) for n, t in names]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *[n for n, _ in names]])
@@ -141,7 +141,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _cleaner(schema: pa.Schema | None, text_col: str, chars_col: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [assess(t) for t in batch.column(text_col).to_pylist()]
             keep = pa.array([x["kept"] for x in found], pa.bool_())
             columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}

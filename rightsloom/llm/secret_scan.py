@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, small
 
 # Fixed values of the base scan.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -231,7 +231,7 @@ def secret_scan(docs: DataFrame, model: CharCNN | None = None, id_col: str = "do
     cnn = model or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1024):
             found, asked = [], []
             for text in batch.column("text").to_pylist():
                 base, more = candidates(text or "")

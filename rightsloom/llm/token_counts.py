@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, tokenizer_path
+from .common import prepare, small, tokenizer_path
 
 LIMIT = 2048
 #: Merged pre-tokens that a worker remembers (about 100 bytes each).
@@ -132,7 +132,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             n = own.count(texts)
             size = np.fromiter((len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64, len(texts))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, small
 
 #: Labelled rows that the model is fitted on at most: those whose ids hash lowest.
 MAX_TRAINING_ROWS = 20_000
@@ -94,7 +94,7 @@ def fit_ordinal(x: Sparse, grade: np.ndarray, steps: int = 250, l1: float = 2e-4
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         rows = [np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in words_of(t)), np.int64) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "toxic", "words"])
 
@@ -102,7 +102,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _spelled(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = wanted.value
-        for batch in batches:
+        for batch in small(batches):
             found = {w: h for t in batch.column("text").to_pylist() for w in words_of(t) if (h := xxhash.xxh64_intdigest(w) >> 1) in keys}
             yield pa.RecordBatch.from_arrays([pa.array(list(found.values()), pa.int64()), pa.array(list(found), pa.string())], ["h", "word"])
 
@@ -187,7 +187,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_RO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             p, severity = own.expected(texts) if own else (np.zeros(len(texts)), np.zeros(len(texts)))
             toxic = p >= own.threshold if own else np.zeros(len(texts), bool)
