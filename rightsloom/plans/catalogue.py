@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import binary, text, vocab
-from ..operators import carrier, conformance, manifests, merge, notice, payload, pixel_cost, resolve, verify, voting
+from ..operators import carrier, conformance, formats, jpeg, manifests, merge, notice, payload, pixel_cost, resolve, verify, voting
 from ..session import prepare
 from ..sources import files, png
 
@@ -527,3 +527,66 @@ def legal_validate(spark, sf_dir):
     date = F.when(F.col("o_custkey") % 4 == 0, "2024-13-01").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     v = notice.legal_violations({"name": F.col("o_orderpriority")}, {"url": url}, {"date": date})
     return o.select("o_orderkey", F.array_join(v, ",").alias("violations"))
+
+
+# ---- further carriers and similar images
+
+
+_BITS = 48
+
+
+@query(f"""WITH c AS (SELECT vec_id AS id, list_sum(list_transform(range({_BITS}), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i::INT ELSE 0 END))::BIGINT AS code FROM embeddings UNION ALL
+ SELECT vec_id + 1000000, xor(xor(list_sum(list_transform(range({_BITS}), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i::INT ELSE 0 END))::BIGINT, 1::BIGINT << (vec_id % 40)::INT), 1::BIGINT << (vec_id % 7)::INT) FROM embeddings)
+SELECT x.id AS a, y.id AS b, bit_count(xor(x.code, y.code))::INT AS distance FROM c x JOIN c y ON x.id < y.id AND bit_count(xor(x.code, y.code)) <= 7""")
+def phash_hamming_pairs(spark, sf_dir):
+    signs = F.transform(F.sequence(F.lit(0), F.lit(_BITS - 1)), lambda i: F.when(F.get(F.col("embedding"), i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    code = F.aggregate(signs, F.lit(0).cast("long"), lambda s, x: s + x)
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), code.alias("code"))
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("id") % n).cast("int"))
+    changed = codes.select((F.col("id") + 1000000).alias("id"), F.col("code").bitwiseXOR(bit(40)).bitwiseXOR(bit(7)).alias("code"))
+    return formats.hamming_pairs(codes.unionByName(changed))
+
+
+@query("SELECT i AS id, 'jpeg payload ' || i AS payload, i * 31 + 5 AS table_seed FROM range(24) r(i)")
+def jpeg_payload_roundtrip(spark, sf_dir):
+    prepare(spark)
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            rows = []
+            for i in f["id"]:
+                data = jpeg.embed_table_seed(jpeg.synthetic(int(i), 96, 64, bool(i % 2)), int(i) * 31 + 5)
+                h, values = jpeg.decode(data)
+                body = f"jpeg payload {i}".encode()
+                out, used = jpeg.embed(values, body, int(i) + 1, 3)
+                marked = jpeg.encode(data, h, out)
+                rows.append((i, jpeg.extract(jpeg.decode(marked)[1], len(body), int(i) + 1, used).decode(), jpeg.extract_table_seed(marked)))
+            yield pd.DataFrame(rows, columns=["id", "payload", "table_seed"])
+
+    return spark.range(24).mapInPandas(run, "id long, payload string, table_seed long")
+
+
+@query("""SELECT page_id, lower(regexp_extract(url, '\\.([^./]+)$', 1)) IN ('png', 'jpg', 'jpeg', 'webp') AS is_image, CASE lower(regexp_extract(url, '\\.([^./]+)$', 1)) WHEN 'png' THEN 'png' WHEN 'jpg' THEN 'jpeg' WHEN 'jpeg' THEN 'jpeg' WHEN 'webp' THEN 'webp' END AS format
+FROM (SELECT page_id, url || (['.PNG', '.jpeg', '.webp', '.html'])[page_id % 4 + 1] AS url FROM pages)""")
+def image_path_formats(spark, sf_dir):
+    ext = F.element_at(F.array(*map(F.lit, (".PNG", ".jpeg", ".webp", ".html"))), (F.col("page_id") % 4 + 1).cast("int"))
+    path = table(spark, sf_dir, "pages").select("page_id", F.concat("url", ext).alias("path"))
+    kind = binary.format_of_path(F.col("path"))
+    return path.select("page_id", kind.isNotNull().alias("is_image"), kind.alias("format"))
+
+
+@query("SELECT *, CASE code WHEN 0 THEN NULL ELSE '" + vocab.URI_PREFIX + "' || vocab_key END AS vocab_uri FROM (VALUES " + ", ".join(f"({c}, '{n}', '{k}', '{p}')" for c, n, k, p in vocab.POLICIES) + ") v(code, policy, vocab_key, property)")
+def policy_vocabulary(spark, sf_dir):
+    return vocab.policies(spark)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 AND doc_id % 5 = 0 THEN 'MetadataNoticeAndAuthenticatedProvenance' WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 'MetadataNoticeAndBestEffortStego' WHEN doc_id % 2 = 0 THEN 'MetadataNoticeOnly' ELSE 'NoNoticeFound' END AS strength,
+  CASE WHEN doc_id % 3 = 0 THEN 'Verified' WHEN doc_id % 3 = 1 THEN 'Invalid' WHEN doc_id % 2 = 0 THEN 'Verified' ELSE 'NotFound' END AS summary FROM documents""")
+def report_strength_table(spark, sf_dir):
+    n = F.col("doc_id")
+    marker = F.element_at(F.array(*map(F.lit, ("Verified", "Invalid", "NotFound"))), (n % 3 + 1).cast("int"))
+    hmac = F.when(n % 5 == 0, "Verified")
+    strength = notice.report_strength(n % 2 == 0, marker, hmac, F.lit(True))
+    return table(spark, sf_dir, "documents").select("doc_id", strength.alias("strength"), notice.summary_status(marker, n % 2 == 0).alias("summary"))
