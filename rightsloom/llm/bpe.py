@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -26,6 +27,10 @@ MEMO = 200_000
 #: Pre-tokens that a worker remembers.
 MEMO_PRE_TOKENS = 400_000
 
+#: Stands for the end of a chunk among ids.
+END_ID = 0xFFFFFFFF
+END = END_ID.to_bytes(4, "little")
+
 _GEAR = np.random.default_rng(20240901).integers(0, 2**32, 256, dtype=np.uint32)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x0A, 0x09, 0x0D]] = True
@@ -63,7 +68,8 @@ class ChunkEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.rules = counter(path)
-        self.pre_tokens: dict[str, bytes] = {}
+        self.split = re.compile(self.rules.split.__self__.pattern + "|\0").findall
+        self.pre_tokens: dict[str, bytes] = {"\0": END}
         self.looked_up = self.encoded = 0
 
     @staticmethod
@@ -114,33 +120,45 @@ class ChunkEncoder:
     def _encode_chunks(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """New chunks: pre-tokens of plain texts are merged once per worker as well, other chunks go to the library."""
         out: dict[bytes, bytes] = {}
-        split, unsafe, known = self.rules.split, self.rules.unsafe.search, self.pre_tokens
-        parts, plain, fresh = [], [], {}
+        plain = []
         for c in chunks:
             if len(c) > LONG:
                 out[c] = self._value(self.encode_long(c))
-                continue
-            text = c.decode("utf-8", "surrogatepass")
-            if "<" in text and any(s in c for s in self.specials):
-                out[c] = self._value(self.library.encode(text, add_special_tokens=False).ids)
-            elif unsafe(text):
-                plain.append((c, text))
+            elif b"<|" in c and any(s in c for s in self.specials):
+                out[c] = self._value(self.library.encode(c.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
             else:
-                pieces = split(text.lower())
-                parts.append((c, pieces))
-                for p in pieces:
-                    if p not in known:
-                        fresh[p] = None
-        words = list(fresh)
-        found = dict(zip(words, self._batch(words), strict=True))
-        for c, pieces in parts:
-            out[c] = b"".join([known.get(p) or found[p] for p in pieces])
-        out.update(zip([c for c, _ in plain], self._batch([t for _, t in plain]), strict=True))
-        if len(known) > MEMO_PRE_TOKENS:
-            known.clear()
-        known.update((p, v) for p, v in found.items() if len(p) <= 64)
+                plain.append(c)
+        for i in range(0, len(plain), 1024):
+            some = plain[i : i + 1024]
+            text = b"\0".join(some).decode("utf-8", "surrogatepass")
+            if text.count("\0") == len(some) - 1 and not self.rules.unsafe.search(text.replace("\0", "")):
+                out.update(zip(some, self._by_pre_tokens(text), strict=True))
+                continue
+            texts = [c.decode("utf-8", "surrogatepass") for c in some]
+            odd = [self.rules.unsafe.search(t) is not None for t in texts]
+            out.update(zip([c for c, o in zip(some, odd, strict=True) if o], self._batch([t for t, o in zip(texts, odd, strict=True) if o]), strict=True))
+            fine = [c for c, o in zip(some, odd, strict=True) if not o]
+            if fine:
+                out.update(zip(fine, self._by_pre_tokens(b"\0".join(fine).decode()), strict=True))
         return out
 
+    def _by_pre_tokens(self, text: str) -> list[bytes]:
+        """Ids of plain chunks, with a zero character between them."""
+        known = self.pre_tokens
+        pieces = self.split(text.lower())
+        values = list(map(known.get, pieces))
+        if None in values:
+            fresh = list(dict.fromkeys([p for p, v in zip(pieces, values, strict=True) if v is None]))
+            found = dict(zip(fresh, self._batch(fresh), strict=True))
+            values = [found[p] if v is None else v for p, v in zip(pieces, values, strict=True)]
+            if len(known) > MEMO_PRE_TOKENS:
+                known.clear()
+                known["\0"] = END
+            known.update((p, v) for p, v in found.items() if len(p) <= 64)
+        raw = b"".join(values)
+        ends = np.flatnonzero(np.frombuffer(raw, "<u4") == END_ID).tolist()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(raw) // 4], strict=True)]
+
     def _batch(self, texts: list[str]) -> list[bytes]:
         """Texts go to the library many at a time, with a special token between that none of them contains."""
         out = []

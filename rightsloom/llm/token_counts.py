@@ -34,7 +34,7 @@ class Counter:
         safe = "".join(chr(c) for a, b in _SAFE_RANGES for c in range(a, b + 1)) + _SAFE_SIGNS
         letters, numbers = self._classes(safe)
         self.unsafe = re.compile(f"[^{re.escape(safe)}]")
-        white = r"\t\n\r "
+        white = r"\t\n\r \0"  # a zero is no safe character; encoders put it between texts
         l, n = re.escape("".join(letters)), re.escape("".join(numbers))
         self.split = re.compile(f"{_SUFFIXES}|[{l}]+|[{n}]|[^{white}{l}{n}]+").findall
         self.cost = _Costs(self.library, self.prove(safe))
