@@ -24,8 +24,8 @@ def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id stays."""
-    return ngram_join.first_of_each(docs)
+    """Of each component of near duplicates (shingles of five words, Jaccard 0.8 or more) the document with the smallest id stays."""
+    return ngram_join.first_of_each(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,11 +97,31 @@ def _level(n: int) -> int:
     return max(0, n.bit_length() - 6)
 
 
+@cache
+def first_parts(percent: int) -> int:
+    """Parts of the hash space at level 1 (64 to 127 shingles): the fewest for which a set of the largest size, its own
+    or that of a partner from the level above, has over d non-empty parts but for a chance of 1 in 100,000.
+
+    A set of n elements leaves about e = parts * exp(-n / parts) parts empty; Chernoff's bound on m or more is
+    exp(m - e) * (e / m) ** m. Later levels double sizes and parts, and their chance is far smaller. 29 at 85 %.
+    """
+    top, rest = 127, 100 - percent
+    above = 100 * top // percent
+    for parts in range(8, 4 * top):
+        left = []
+        for n, d in ((top, rest * top // percent), (above, 2 * rest * above // (100 + percent))):
+            e, m = parts * np.exp(-n / parts), parts - d
+            left.append(1.0 if m <= e else float(np.exp(m - e) * (e / m) ** m))
+        if max(left) < 1e-5:
+            return parts
+    return 4 * top
+
+
 def signatures(u: np.ndarray, percent: int = PERCENT, banded: bool = True) -> tuple[np.ndarray, bool]:
     """Signatures of a set such that any two sets with enough Jaccard similarity share one; False if that isn't sure.
 
     Let J >= percent / 100 and d be the most elements in which a set may differ from a partner. From level 1 on the
-    hash space is cut into parts, so many that a part has two to five elements of a set of that size. A part's
+    hash space is cut into parts (see first_parts), so that a part has a few elements of a set of that size. A part's
     signature is the sum of its elements. Two partners differ in d parts at most, so of any d + 1 non-empty parts of
     one, one is the same in the other; with one order for all (the signature's value) the d + 1 lowest of both
     sets meet. Level 0 takes the elements themselves as parts. A pair meets at the level of its smaller set: each
@@ -119,7 +140,7 @@ def signatures(u: np.ndarray, percent: int = PERCENT, banded: bool = True) -> tu
             out.append(mix(u[: n - need + 1] ^ _ODD[30]))
             continue
         d = rest * n // percent if own else 2 * rest * n // (100 + percent)
-        parts = 29 << (level - 1)
+        parts = first_parts(percent) << (level - 1)
         part = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         s = mix(np.add.reduceat(mix(u ^ _ODD[31]), starts) + part[starts] * _ODD[32] + _ODD[33 + min(level, 6)])

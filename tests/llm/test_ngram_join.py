@@ -16,8 +16,8 @@ def plain_set(t, k=4):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
 
 
-def plain_components(rows):
-    sets = [plain_set(t) for _, t in rows]
+def plain_components(rows, k=4, percent=85):
+    sets = [plain_set(t, k) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -28,7 +28,7 @@ def plain_components(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 root[find(i)] = find(j)
     low = {}
     for i, (d, _) in enumerate(rows):
@@ -56,6 +56,13 @@ def hot_rows(n=260):
     return rows + [(1000 + i, prose(r, 90)) for i in range(40)]
 
 
+@pytest.mark.parametrize(("words", "percent"), [(5, 80), (3, 95)])
+def test_other_words_and_similarity(spark, words, percent):
+    rows = hot_rows(120)
+    got = Counter(tuple(r) for r in nj.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), words, percent).collect())
+    assert got == plain_components(rows, words, percent)
+
+
 @pytest.mark.parametrize("block", [2048, 16])
 def test_large_group_of_near_copies(spark, monkeypatch, block):
     monkeypatch.setattr(nj, "BLOCK", block)
@@ -80,20 +87,21 @@ def test_unbanded_way_gives_the_same(spark, monkeypatch):
     assert calls and got == plain_components(rows)
 
 
+@pytest.mark.parametrize("percent", [80, 85, 90])
 @pytest.mark.parametrize("size", [1, 2, 6, 7, 20, 54, 55, 63, 64, 75, 76, 110, 127, 128, 150, 400, 1500, 6000])
-def test_similar_sets_share_a_signature(size):
+def test_similar_sets_share_a_signature(size, percent):
     r = np.random.default_rng(size)
     for _ in range(60):
         a = np.unique(r.integers(0, 2**64, size, dtype=np.uint64))
-        drop = r.integers(0, 3 * size // 20 + 1)
-        add = r.integers(0, max(0, (100 * (len(a) - drop) - 85 * len(a)) // 85) + 1)
+        drop = r.integers(0, (100 - percent) * size // 100 + 1)
+        add = r.integers(0, max(0, (100 * (len(a) - drop) - percent * len(a)) // percent) + 1)
         b = np.unique(np.concatenate([r.choice(a, len(a) - drop, replace=False), r.integers(0, 2**64, add, dtype=np.uint64)]))
-        if not nj.links(a, b):
+        if not nj.links(a, b, percent):
             continue
-        (s, ok), (t, ok2) = nj.signatures(a), nj.signatures(b)
+        (s, ok), (t, ok2) = nj.signatures(a, percent), nj.signatures(b, percent)
         assert ok and ok2 and len(np.intersect1d(s, t))
         x, y = (np.frombuffer(nj.bitmap(u), np.uint64)[None] for u in (a, b))
-        assert nj.may_link(np.array([len(a)]), np.array([len(b)]), x, y)[0]
+        assert nj.may_link(np.array([len(a)]), np.array([len(b)]), x, y, percent)[0]
 
 
 def test_components_of_chains_and_rings(spark):

@@ -28,7 +28,7 @@ def test_run(spark, tmp_path):
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\r\x0b\x0c"))
     count = Counter(k for _, t, _ in kept for k in {key(x) for x in t.split("\n")} if k)
     kept = [(i, "\n".join(x for x in t.split("\n") if count.get(key(x), 0) < 10), s) for i, t, s in kept]
-    keep = {d for d, _, c in plain_components([(i, t) for i, t, _ in kept]) if d == c}
+    keep = {d for d, _, c in plain_components([(i, t) for i, t, _ in kept], 5, 80) if d == c}
     kept = [r for r in kept if r[0] in keep]
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
