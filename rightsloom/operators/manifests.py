@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ed25519
+from ..session import prepare
+
 # Size and count limits of manifests, and statuses with their exit codes, worst first.
 MAX_BYTES, MAX_ITEMS, MAX_KEY_ID = 64 << 10, 16, 64
 STATUSES = (("ConfigurationError", 4), ("BindingFailed", 3), ("KeyMaterialFailed", 3), ("SignatureFailed", 3), ("EmbeddedFailed", 2), ("Verified", 0))
@@ -76,3 +82,30 @@ def check(parsed: DataFrame, files: DataFrame, id_col: str, trusted: DataFrame)
         has("bad_public_key", "key_id_too_long", "duplicate_key_id", "unknown_key") | ~F.coalesce("trusted", F.lit(True)), has("bad_signature", "duplicate_signature"), F.lit(False),
     )
     return j.select(id_col, "path", status.alias("status")).withColumn("exit_code", exit_code(F.col("status")))
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, messages, signatures = (batch.column(c).to_pylist() for c in ("public_key", "message", "signature"))
+        valid = [None not in x and ed25519.verify(x[0], x[1], x[2]) for x in zip(keys, messages, signatures, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(valid, pa.bool_())], [*batch.schema.names[:3], "valid"])
+
+
+def signature_results(parsed: DataFrame, id_col: str, trusted: DataFrame) -> DataFrame:
+    """id, key_id, trusted, valid: a row per signature, checked over its manifest's canonical claim.
+
+    A key from the caller's table (key_id, public_key) takes the place of the manifest's own key of that id; only such
+    keys are trusted. Without a key, or with hex that can't be read, a signature isn't valid.
+    """
+    prepare(parsed.sparkSession)
+    message = canonical_claim(F.col("m.claim")).cast("binary")
+    sigs = parsed.select(id_col, message.alias("message"), F.explode("m.signatures").alias("s")).select(id_col, "message", "s.key_id", "s.algorithm", "s.signature")
+    own = parsed.select(id_col, F.explode("m.keys").alias("k")).select(id_col, F.col("k.key_id").alias("key_id"), F.col("k.public_key").alias("own")).dropDuplicates([id_col, "key_id"])
+    mine = trusted.select("key_id", F.col("public_key").alias("mine")).dropDuplicates(["key_id"])
+    both = sigs.join(own, [id_col, "key_id"], "left").join(mine, "key_id", "left")
+    unhexed = lambda c: F.try_to_binary(c, F.lit("hex"))
+    narrow = both.select(
+        id_col, "key_id", F.col("mine").isNotNull().alias("trusted"), unhexed(F.coalesce("mine", "own")).alias("public_key"), "message",
+        F.when(F.col("algorithm") == "ed25519", unhexed(F.col("signature"))).alias("signature"),
+    )
+    return narrow.mapInArrow(_verified, f"{id_col} {parsed.schema[id_col].dataType.simpleString()}, key_id string, trusted boolean, valid boolean")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import binary, text, vocab
+from ..functions import binary, ed25519, text, vocab
 from ..operators import carrier, conformance, formats, jpeg, manifests, merge, notice, payload, pixel_cost, resolve, verify, voting
 from ..session import prepare
 from ..sources import files, png
@@ -512,6 +512,29 @@ def manifest_signature_antijoin(spark, sf_dir):
     return by.where("k is not null or s is not null")
 
 
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'b' ELSE 'a' END AS key_id, s_suppkey % 7 <> 0 AS trusted, s_suppkey % 5 <> 0 AND s_suppkey % 11 <> 0 AS valid FROM supplier")
+def manifest_signature_verify(spark, sf_dir):
+    """Signatures made here over claims: by a trusted key or a listed one; some over another claim, some of broken hex."""
+    prepare(spark)
+    secrets = {"a": bytes(range(32)), "b": bytes(range(1, 33))}
+    public = {k: ed25519.public_key(v).hex() for k, v in secrets.items()}
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 7 == 0, "b").otherwise("a").alias("key_id"))
+    claim = lambda name: F.struct(*[(name if c == "content_code" else F.lit(None).cast("string")).alias(c) for c in manifests.CLAIM])
+    signed = F.when(F.col("s_suppkey") % 5 == 0, F.concat("s_name", F.lit("x"))).otherwise(F.col("s_name"))
+    s = s.select("*", manifests.canonical_claim(claim(signed)).alias("message"))
+
+    def run(frames):
+        for f in frames:
+            made = [ed25519.sign(secrets[k], m.encode()).hex() for k, m in zip(f["key_id"], f["message"], strict=True)]
+            yield f.assign(signature=[x[:-1] + "z" if n % 11 == 0 else x for n, x in zip(f["s_suppkey"], made, strict=True)])
+
+    s = s.mapInPandas(run, "s_suppkey long, s_name string, key_id string, message string, signature string")
+    keys = F.array(*[F.struct(F.lit(k).alias("key_id"), F.lit(v).alias("public_key")) for k, v in public.items()])
+    sig = F.struct(F.lit("ed25519").alias("algorithm"), F.col("key_id"), F.col("signature"))
+    json = F.to_json(F.struct(F.lit("sha256:").alias("image_digest"), F.struct(F.col("s_name").alias("content_code")).alias("claim"), F.array(sig).alias("signatures"), keys.alias("keys")))
+    return manifests.signature_results(manifests.parse(s.select("s_suppkey", json.alias("json"))), "s_suppkey", spark.createDataFrame([("a", public["a"])], "key_id string, public_key string"))
+
+
 @query("""SELECT doc_id, sha256('{"content_code":"' || lang || '","created_at":' || doc_id || ',"file_size":' || n_chars || ',"rights_policy":"' || source || '"}') AS digest FROM documents""")
 def claim_digest(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
