@@ -176,7 +176,7 @@ def _set_rows(words: int):
         for batch in small(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             columns = [pa.array([len(u) for u in sets], pa.int64()), pa.array([set_id(u) for u in sets], pa.int64()), pa.array([bitmap(u) for u in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n", "set_id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], ["row", "doc_id", "n", "set_id", "bits"])
 
     return run
 
@@ -437,6 +437,15 @@ def _shingles_of(docs: DataFrame, rows: DataFrame, sets: DataFrame, pairs: DataF
     return written(full, "ngram_sets")
 
 
+def linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """For docs (row, doc_id, text): its rows (row, doc_id, n, set_id, bits), the classes of equal sets (set_id, rep,
+    copies), and links of sets as similar_sets() gives them."""
+    rows = written(docs.mapInArrow(_set_rows(words), "row long, doc_id long, n long, set_id long, bits binary"), "ngram_rows")
+    sets = written(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "ngram_classes")
+    total = rows.agg(F.sum("n")).first()[0]
+    return rows, sets, similar_sets(docs.drop("row"), rows, sets, int(total), words, percent) if total else None
+
+
 def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
@@ -452,13 +461,11 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     a null id is named by the smallest other id of its component, or stays null. Empty tables give empty results;
     other columns are not read.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(narrow.mapInArrow(_set_rows(words), "doc_id long, n long, set_id long, bits binary"), "ngram_rows")
-    sets = written(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "ngram_classes")
-    totals = rows.agg(F.count("*"), F.sum("n")).first()
-    found = similar_sets(narrow, rows, sets, int(totals[1] or 0), words, percent) if totals[1] else None
+    prepare(docs.sparkSession)
+    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, sets, found = linked_sets(narrow, words, percent)
+    rows = rows.drop("row")
+    total = rows.count()
     classes = sets.select(F.hex("set_id").alias("g"), "rep", "copies")
     if found is not None:
         comp = written(components(found), "ngram_components")
@@ -466,17 +473,34 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         low = of.where("rep is not null").groupBy("root").agg(F.min("rep").alias("low"))
         classes = of.join(low, "root", "left").select(F.hex("set_id").alias("g"), F.col("low").alias("rep"), "copies")
     keyed = rows.drop("bits").withColumn("g", F.when(F.col("n") > 0, F.hex("set_id")).otherwise(F.concat(F.lit("empty "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    out = attach_groups(keyed, classes, "g", "copies", totals[0], F.concat(F.lit("row "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    out = attach_groups(keyed, classes, "g", "copies", total, F.concat(F.lit("row "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that link, directly or by others, with a row of a smaller id. Texts are not shuffled while
-    the ids that go are within the bound of a broadcast. Rows that repeat an id stay or go together."""
-    found = ngram_jaccard_join(docs, words, percent, id_col, text_col)
-    gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "ngram_gone")
+    """docs with one row of each component: that of the smallest id (null ids come last), of rows with one id that of the
+    lowest row key. Rows that link with nothing all stay, whatever their ids.
+
+    docs is written with a key of each row, so that a verdict holds for a row and not for all that share its id. Texts
+    are not shuffled while the rows that go are within the bound of a broadcast.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    key = "_row"
+    while key in docs.columns:
+        key = "_" + key
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "ngram_keyed")
+    narrow = keyed.select(F.col(key).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, sets, found = linked_sets(narrow, words, percent)
+    rows = rows.where("n > 0")
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("low")
+    kept = rows.groupBy("set_id").agg(order)
+    if found is not None:
+        comp = written(components(found), "ngram_components")
+        kept = kept.join(comp, F.col("set_id") == F.col("node"), "left").groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("low").alias("low"))
+    gone = written(rows.select("row").join(kept.select(F.col("low.row").alias("row")), "row", "left_anti").select(F.col("row").alias("_gone")), "ngram_gone")
     gone = bounded_broadcast(gone, gone.count(), MAX_BROADCAST_IDS)
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return keyed.join(gone, F.col(key) == F.col("_gone"), "left_anti").drop(key)
 
 
 ORACLE = r"""

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rightsloom.llm import ngram_join as nj
 
@@ -115,3 +116,18 @@ def test_stage_keeps_one_of_each(docs, rows):
     assert out.schema == docs.schema
     comp = {r.doc_id: r.component_id for r in nj.ngram_jaccard_join(docs).collect()}
     assert {r.doc_id for r in out.collect()} == {d for d, c in comp.items() if d == c}
+
+
+def test_stage_counts_rows_of_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    rows = [
+        (1, text("a")), (None, text("a")), (None, text("b")), (None, ""), (None, None),  # a null id that links, one that doesn't, two without words
+        (2, text("c")), (5, text("c")), (5, text("d")),  # one text of an id is a copy, the other is not
+        (6, text("e")), (6, text("e")), (None, text("f")), (None, text("f")), (None, text("f")),  # whole rows that repeat, copies without any id
+        (9, text("g")), (8, text("g") + " more"), (8, text("g")), (None, text("g")),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit("own")).repartition(3)
+    out = nj.first_of_each(docs)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) if r.text is None or "gword" not in r.text else r.doc_id for r in out.collect())
+    assert got == Counter([(1, text("a")), (None, text("b")), (None, ""), (None, None), (2, text("c")), (5, text("d")), (6, text("e")), (None, text("f")), 8])
