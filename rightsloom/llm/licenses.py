@@ -69,9 +69,15 @@ def base_scan(s: Column) -> dict[str, Column]:
     }
 
 
-def block_table(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str) -> DataFrame:
+def _need(words: list[str], threshold: float) -> int:
+    return max(1, math.ceil(threshold * len(words) - 1e-9))
+
+
+def block_table(docs: DataFrame, templates, threshold: float, vocabulary: list[str], id_col: str, text_col: str) -> DataFrame:
     """One row per document: row, doc_id, n_words, the base figures, and for every block (line) with words of any
-    template those words once each. Other words can't be shared with a template, so none is needed after this pass."""
+    template those words once each. Other words can't be shared with a template, so none is needed after this pass.
+    places: where all lines together have enough words of some template, each word's number in the vocabulary (0 for
+    others) in the order of the text; else null."""
     lowered = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     lines = F.transform(F.split(lowered, "\n"), lambda line: F.trim(F.regexp_replace(line, NOT_WORD, " ")))
     known = _literals(vocabulary)
@@ -80,7 +86,14 @@ def block_table(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: s
     t = t.select("doc_id", "lines", F.concat(F.lit(" "), joined, F.lit(" ")).alias("s"))
     blocks = F.filter(F.transform("lines", lambda x: F.array_intersect(known, F.split(x, " "))), lambda x: F.size(x) > 0)
     n_words = F.when(F.col("s") == "  ", F.lit(0)).otherwise(_spaces(F.col("s")) - 1).cast("long")
-    return t.select(F.monotonically_increasing_id().alias("row"), "doc_id", n_words.alias("n_words"), *[c.alias(k) for k, c in base_scan(F.col("s")).items()], blocks.alias("blocks"))
+    t = t.select(F.monotonically_increasing_id().alias("row"), "doc_id", n_words.alias("n_words"), *[c.alias(k) for k, c in base_scan(F.col("s")).items()], blocks.alias("blocks"), "s")
+    t = t.withColumn("all", F.array_distinct(F.flatten("blocks")))
+    enough = F.lit(False)
+    for _, text in templates:
+        words = template_words(text)
+        enough = enough | (F.size(F.array_intersect(F.col("all"), _literals(words))) >= _need(words, threshold))
+    places = F.transform(F.split(F.trim("s"), " "), lambda w: F.array_position(known, w).cast("int"))
+    return t.withColumn("places", F.when((F.size("blocks") > 1) & enough, places)).drop("s", "all")
 
 
 def block_matches(table: DataFrame, templates=TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
@@ -99,7 +112,7 @@ def block_matches(table: DataFrame, templates=TEMPLATES, threshold: float = CONT
     sets = [(label, sorted(template_words(text), key=order)) for label, text in templates]
     rows = []
     for t, (label, words) in enumerate(sets):
-        need = max(1, math.ceil(threshold * len(words) - 1e-9))
+        need = _need(words, threshold)
         rows += [(t, label, words, need, word, pos) for pos, word in enumerate(words[: len(words) - need + 1])]
     prefixes = spark.createDataFrame(rows, "template int, label string, t_words array<string>, need int, word string, pos int")
     ranked = _literals(sorted({w for _, s in sets for w in s}, key=order))
@@ -114,11 +127,33 @@ def block_matches(table: DataFrame, templates=TEMPLATES, threshold: float = CONT
     return pairs.groupBy("row", "block", "template", "label").agg(F.max(F.col("overlap") / F.size("t_words")).alias("containment"))
 
 
+def wrapped_matches(table: DataFrame, vocabulary: list[str], templates=TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
+    """row, block, template, label, containment: templates that a run of words holds, over line ends, exactly.
+
+    A run is a quarter longer than the template, and starts at each of its words: a run that starts elsewhere has no
+    more of them. block is -1 - template.
+    """
+    at = {w: i for i, w in enumerate(vocabulary, 1)}
+    rows = []
+    for t, (label, text) in enumerate(templates):
+        words = template_words(text)
+        length = len([w for w in re.split(NOT_WORD, text) if w])
+        rows.append(F.struct(F.lit(t).alias("template"), F.lit(label).alias("label"), F.array(*[F.lit(at[w]) for w in words]).alias("t_words"), F.lit(_need(words, threshold)).alias("need"), F.lit(math.ceil(1.25 * length)).alias("length")))
+    if not rows:
+        return table.sparkSession.createDataFrame([], "row long, block int, template int, label string, containment double")
+    pairs = table.where("places is not null").select("row", "places", F.explode(F.array(*rows)).alias("t")).select("row", "places", "t.*")
+    pairs = pairs.where("size(array_intersect(t_words, places)) >= need")
+    starts = "filter(transform(places, (x, i) -> if(array_contains(t_words, x), i + 1, 0)), i -> i > 0)"
+    pairs = pairs.withColumn("overlap", F.expr(f"array_max(transform({starts}, i -> size(array_intersect(t_words, slice(places, i, length)))))")).where("overlap >= need")
+    return pairs.select("row", (-1 - F.col("template")).alias("block"), "template", "label", (F.col("overlap") / F.size("t_words")).alias("containment"))
+
+
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks.
 
     Base: places where a fixed phrase's words follow one another, also over line ends. The join adds labels of
-    templates that a line holds; score is the best containment found, 1 for a base phrase, 0 for nothing.
+    templates that a line holds, or a run of words over line ends; score is the best containment found, 1 for a base
+    phrase, 0 for nothing. n_blocks counts such lines, and one for each template that only runs over line ends hold.
     Null and empty texts have no words: no labels ('' joined), score 0, null first_word and last_word. Each row
     stands for itself, so repeated rows and null ids are answered like others; empty tables give empty results;
     other columns are not read.
@@ -126,10 +161,12 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = CONTAI
     vocabulary = sorted({w for _, text in templates for w in template_words(text)})
     if len(vocabulary) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")
-    table = written(block_table(docs, vocabulary, id_col, text_col), "license_blocks")
+    table = written(block_table(docs, templates, threshold, vocabulary, id_col, text_col), "license_blocks")
     found = block_matches(table, templates, threshold)
+    wrapped = wrapped_matches(table, vocabulary, templates, threshold)
+    found = found.unionByName(wrapped.join(found.select("row", "template").distinct(), ["row", "template"], "left_anti"))
     by_row = found.groupBy(F.col("row").alias("f_row")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"), F.countDistinct("block").alias("n_blocks"))
-    out = table.drop("blocks").join(by_row, F.col("row") == F.col("f_row"), "left")
+    out = table.drop("blocks", "places").join(by_row, F.col("row") == F.col("f_row"), "left")
     labels = F.array_sort(F.array_union("base_set", F.coalesce("found", F.array().cast("array<string>"))))
     score = F.greatest(F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.lit(0.0)), F.coalesce("best", F.lit(0.0)))
     return out.select(

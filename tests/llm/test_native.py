@@ -128,3 +128,17 @@ def test_license_phrases_across_lines_and_templates(spark):
     got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
     assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].labels) == (3, 1, 6, "cc-by,reserved")
     assert got[2].labels == "apache-2.0" and 0.8 <= got[2].score < 1 and got[3].labels == "" and got[3].score == 0
+
+
+def test_license_notices_wrapped_over_lines(spark):
+    wrapped = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the",
+        "bsd": "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted",
+        "lgpl": "under the terms of the GNU Lesser General Public License as\npublished by the Free Software Foundation",
+        "": "the MIT\n" + "other words " * 30 + "\nreleased under a license",
+    }
+    rows = [(i, "x y\n" + text + "\nz") for i, text in enumerate(wrapped.values())]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [",".join(x for x in got[i].labels.split(",") if x != "gpl") for i in range(5)] == list(wrapped)
+    assert got[0].n_blocks == 1 and got[0].score == 1.0 and got[4].n_blocks == 0
