@@ -65,7 +65,7 @@ WIDTH, DIM, FILTERS = 5, 12, 32
 
 
 def windows(spans: list[tuple[str, int, int]]) -> np.ndarray:
-    """Codes of each span (its first characters) with its context, padded to one length."""
+    """Codes of each span (of a longer one the first characters, see views) with its context, padded to one length."""
     out = np.zeros((len(spans), LENGTH), np.int16)
     for row, (text, a, b) in zip(out, spans, strict=True):
         left, inside, right = text[max(0, a - LEFT) : a], text[a : min(b, a + INSIDE)], text[b : b + RIGHT]
@@ -77,6 +77,39 @@ def windows(spans: list[tuple[str, int, int]]) -> np.ndarray:
     return out
 
 
+STRIDE = 24
+_PART = re.compile(r"[^/=.]+")
+
+
+def views(a: int, b: int, text: str) -> list[tuple[int, int]]:
+    """What the network reads of a span: all of it, or of a longer one overlapping windows over its whole length, and its
+    parts between '/', '=' and '.' that are long enough for a key, each in windows too."""
+    if b - a <= INSIDE:
+        return [(a, b)]
+    spans = {(a, b)} | {m.span() for m in _PART.finditer(text, a, b) if m.end() - m.start() >= 16}
+    return sorted({(i, min(i + INSIDE, y)) for x, y in spans for i in [*range(x, max(y - INSIDE, x), STRIDE), max(y - INSIDE, x)]})
+
+
+def probabilities(cnn: CharCNN, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    """Of each span the highest probability of its views."""
+    best = np.zeros(len(spans))
+    rows, owner = [], []
+
+    def score() -> None:
+        np.maximum.at(best, owner, cnn.scores(windows(rows)))
+        rows.clear(), owner.clear()
+
+    for k, (text, a, b) in enumerate(spans):
+        for x, y in views(a, b, text):
+            rows.append((text, x, y))
+            owner.append(k)
+            if len(rows) == 4096:
+                score()
+    if rows:
+        score()
+    return best
+
+
 class CharCNN:
     """Embedding, one convolution with ReLU, maximum and mean over places, one linear unit. Trained by Adam in numpy."""
 
@@ -199,6 +232,43 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
     return out, np.array(y, np.float32)
 
 
+def long_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int, int, int]], np.ndarray]:
+    """n runs longer than the network's inside, with labels: (text, start, end, start and end of the secret). Keys stand
+    late in addresses, paths and dotted names; the others end in names, numbers and versions."""
+    r = np.random.default_rng(seed)
+    pick = lambda s: s[int(r.integers(len(s)))]
+    chars = lambda s, k: "".join(s[i] for i in r.integers(0, len(s), k))
+    word = lambda: "".join(pick(_SYLLABLES) for _ in range(int(r.integers(1, 4))))
+    words = lambda sep: sep.join(word() for _ in range(int(r.integers(4, 12))))
+    num = lambda a, b: str(int(r.integers(a, b)))
+    heads = [lambda: "//" + words(".") + "/" + words("/") + "/", lambda: words(".") + "=", lambda: words(".") + "." + pick(["credential", "token", "key", "secret"]) + "=", lambda: "/" + words("/") + "/", lambda: "//" + words(".") + "/" + word() + "/" + pick("TBC") + chars("0123456789", 8) + "/" + pick("TBC") + chars(_UP, 8) + "/", lambda: words("-") + "/" + words("_") + "="]
+    keys = [lambda: chars(_B64[:62], int(r.integers(20, 64))), lambda: chars(_HEX, pick([32, 40, 64])), lambda: "ghp_" + chars(_B64[:62], 36), lambda: "sk_live_" + chars(_B64[:62], 24), lambda: chars(_B64[:62] + "-_", int(r.integers(20, 44)))]
+    tails = [lambda: word() + num(0, 9999), lambda: word() + "-" + num(0, 20) + "." + num(0, 99) + "." + num(0, 99) + ".jar", lambda: words("-") + "-" + num(1, 999) + ".html", lambda: words("_") + num(1, 99), lambda: words("/") + "/" + num(1990, 2030) + "/" + num(1, 13) + "/" + word(), lambda: words(".") + "." + word().capitalize() + word().capitalize() + num(1, 9), lambda: "=" * int(r.integers(12, 60)) + num(1, 9), lambda: "-" * int(r.integers(12, 60)) + num(1, 9), lambda: num(1, 255) + "." + num(0, 255) + "." + num(0, 255) + "/" + words("/")]
+    out, y = [], []
+    for i in range(n):
+        head, body = pick(heads)(), pick(keys)() if i % 2 else pick(tails)()
+        while len(head) + len(body) <= INSIDE:
+            head = word() + pick("./") + head
+        end = "/" + words("/") if r.random() < 0.2 else ""
+        lead = word() + pick([" ", ": ", ' "', " https:"])
+        at = len(lead) + len(head)
+        out.append((lead + head + body + end + " " + word(), len(lead), at + len(body) + len(end), at, at + len(body) if i % 2 else at))
+        y.append(i % 2)
+    return out, np.array(y, np.float32)
+
+
+def long_views(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+    """Views of long findings, labelled by what they show: most of a secret, or nothing of one; others are left out."""
+    out, y = [], []
+    for text, a, b, s, e in long_findings(n, seed)[0]:
+        for x, z in views(a, b, text):
+            shown = min(z, e) - max(x, s)
+            if e == s or shown <= 0 or shown >= min(e - s, 20):
+                out.append((text, x, z))
+                y.append(e > s and shown > 0)
+    return out, np.array(y, np.float32)
+
+
 RECALL = 0.97
 _model: list[CharCNN] = []
 
@@ -207,8 +277,11 @@ def trained(findings: int = 6000, recall: float = RECALL, seed: int = 5) -> Char
     """The network, trained on labelled findings and calibrated on as many others by half; the same on every call."""
     if not _model:
         x, y = labelled_findings(findings, seed)
+        late, late_y = long_views(findings // 6, seed + 2)
         held, held_y = labelled_findings(findings // 2, seed + 1)
-        _model.append(CharCNN().fit(windows(x), y).calibrate(windows(held), held_y, recall))
+        held_late, held_late_y = long_views(findings // 12, seed + 3)
+        cnn = CharCNN().fit(windows(x + late), np.concatenate([y, late_y]))
+        _model.append(cnn.calibrate(windows(held + held_late), np.concatenate([held_y, held_late_y]), recall))
     return _model[0]
 
 
@@ -223,7 +296,7 @@ def secret_scan(docs: DataFrame, model: CharCNN | None = None, id_col: str = "do
     """One row per input row: doc_id, n_assign, n_access, n_hex, n_model, base_sha256, spans, scores.
 
     Base spans stay whatever the network says; other runs of key characters become spans of kind model where its
-    calibrated probability reaches the threshold. scores has every span's probability, in the order of spans.
+    calibrated probability reaches the threshold, which is the highest of any part of the run. scores has every span's probability, in the order of spans.
     Offsets count code points. Null and empty texts have no spans ('' joined). Whole texts are read; repeated rows
     and null ids are answered row by row; empty tables give empty results; other columns are not read.
     """
@@ -237,7 +310,7 @@ def secret_scan(docs: DataFrame, model: CharCNN | None = None, id_col: str = "do
                 base, more = candidates(text or "")
                 found.append((base, more, len(asked)))
                 asked += [(text, a, b) for a, _, b in base + more]
-            p = np.concatenate([cnn.scores(windows(asked[i : i + 4096])) for i in range(0, len(asked), 4096)]) if asked else np.zeros(0)
+            p = probabilities(cnn, asked)
             out = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_model", "base_sha256", "spans", "scores")}
             for base, more, at in found:
                 scored = list(zip(base + more, p[at : at + len(base) + len(more)].tolist(), strict=True))

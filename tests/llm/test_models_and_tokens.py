@@ -132,3 +132,14 @@ def test_ordinal_gradient():
     assert (np.diff(cuts) > 0).all()
     for i in range(6):
         assert loss(w + 0.05 * np.eye(6)[i], cuts) > base - 1e-5 and loss(w - 0.05 * np.eye(6)[i], cuts) > base - 1e-5
+
+
+def test_secrets_late_in_long_runs(spark):
+    key = "q7RtZ2mKx9LbVw4NcH8sJd3P"
+    texts = [f"curl https://hooks.slack.com/services/T00000000/B00000000/{key}", f"set com.example.payments.production.gateway.client.credential={key}", "see /usr/share/doc/packages/" + "library/manual/" * 8 + f"{key}/index here"]
+    got = secret_scan.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.n_model for r in got] == [1, 1, 1]
+    m = secret_scan.trained()
+    x, y = secret_scan.long_findings(1000, 993)
+    called = secret_scan.probabilities(m, [f[:3] for f in x]) >= m.threshold
+    assert called[y == 1].mean() > 0.95 and called[y == 0].mean() < 0.05
