@@ -267,16 +267,24 @@ def embed(coefficients: dict[int, np.ndarray], payload: bytes, seed: int, redund
     return out, use
 
 
-def extract(coefficients: dict[int, np.ndarray], n_bytes: int, seed: int, redundancy: int, blocks=None) -> bytes | None:
+def low_bits(coefficients: dict[int, np.ndarray], seed: int, blocks=None) -> np.ndarray:
+    """Low bits of all places, in keyed order."""
+    return np.array([abs(int(coefficients[c][b, k])) & 1 for c, b, k in _places(coefficients, seed, blocks)], np.uint8)
+
+
+def voted(bits: np.ndarray, n_bytes: int, redundancy: int) -> bytes | None:
     """Majority over the replicas of each bit; a tie is 0."""
     n = 8 * n_bytes
-    places = _places(coefficients, seed, blocks)[: n * redundancy]
-    if len(places) < n * redundancy:
+    if len(bits) < n * redundancy:
         return None
-    ones = np.array([abs(int(coefficients[c][b, k])) & 1 for c, b, k in places]).reshape(redundancy, n).sum(0)
+    ones = bits[: n * redundancy].reshape(redundancy, n).sum(0, dtype=np.int64)
     return np.packbits(2 * ones > redundancy, bitorder="little").tobytes()
 
 
+def extract(coefficients: dict[int, np.ndarray], n_bytes: int, seed: int, redundancy: int, blocks=None) -> bytes | None:
+    return voted(low_bits(coefficients, seed, blocks), n_bytes, redundancy)
+
+
 def tile_blocks(h: Header, x: int, y: int, size: int) -> dict[int, np.ndarray]:
     """Blocks of each component whose pixels start in a tile, under its subsampling."""
     hm, vm = max(c[1] for c in h.components), max(c[2] for c in h.components)

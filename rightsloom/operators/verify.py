@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from ..functions.binary import container_format
 from ..session import prepare
 from ..sources import png
-from . import carrier, containers, notice, payload
+from . import carrier, containers, jpeg, notice, payload
 
 TAG = 16
+# Redundancies that are tried, the base of the offset seeds and how many passes there are.
+REDUNDANCIES = tuple(range(1, 11))
+OFFSET, PASSES, _M = 0x517CC1B727220A95, 5, (1 << 64) - 1
 
 
 def build_payload(seed: int, policy: int, content_hash: bytes, key: bytes | None = None) -> bytes:
@@ -37,20 +40,48 @@ def check_payload(data: bytes, key: bytes | None) -> str:
     return "Verified" if data[29] == 1 and tag[:4] == struct.pack("<I", zlib.crc32(head)) else "Invalid"
 
 
-def find_payload(data: bytes, key: bytes | None, redundancies=(1, 2)) -> tuple[str, bytes | None]:
-    """First valid candidate: the seed from the low bits, each redundancy; a prefix is read before the whole payload."""
-    pixels = png.decode(data)
-    seed = carrier.extract_seed(pixels) if pixels is not None else None
-    found = ("NotFound", None)
-    if seed is None:
-        return found
-    for r in redundancies:
-        head = carrier.extract(pixels, 6, seed, r, reserved=carrier.SEED_SLOTS)
-        if head is None or head[:3].hex() != payload_magic():
+def metadata_seed(data: bytes) -> int | None:
+    """The seed that a PNG text chunk or a JPEG comment names."""
+    for _, kind, _, _, body, _ in containers.png_chunks(data) if data[:8] == containers.PNG_SIGNATURE else containers.jpeg_segments(data):
+        key, _, value = body.partition(b"\0")
+        if kind == "iTXt":
+            value = value[2:].split(b"\0", 2)[-1]
+        if kind == "FE":
+            key, _, value = body.partition(b": ")
+        if kind in ("tEXt", "iTXt", "FE") and key == b"Description" and value.startswith(b"Protected image. Seed: "):
+            key, value = b"X-Protection-Seed", value.removeprefix(b"Protected image. Seed: ")
+        value = value.strip()
+        if kind in ("tEXt", "iTXt", "FE") and key == b"X-Protection-Seed" and value.isdigit() and int(value) <= _M:
+            return int(value)
+    return None
+
+
+def _checked(head: bytes | None, whole, key: bytes | None) -> tuple[str, bytes | None]:
+    """Status of the payload that starts with head; whole gives candidates of a size."""
+    if head is None or head[:3].hex() != payload_magic():
+        return "NotFound", None
+    size = struct.unpack_from("<H", head, 4)[0]
+    found = ("Invalid", None)
+    for data in whole(size) if payload.V3_HEADER < size <= payload.V3_MAX else ():
+        if data is None:
             continue
-        size = struct.unpack_from("<H", head, 4)[0]
-        whole = carrier.extract(pixels, size, seed, r, reserved=carrier.SEED_SLOTS) if payload.V3_HEADER < size <= payload.V3_MAX else None
-        status = check_payload(whole, key) if whole else "Invalid"
+        status = check_payload(data, key)
+        if status == "Verified":
+            return status, data
+        if found[1] is None:
+            found = (status, data)
+    return found
+
+
+def find_payload(data: bytes, key: bytes | None, redundancies=REDUNDANCIES) -> tuple[str, bytes | None]:
+    """First valid candidate, else the first that is one at all; a prefix is read before the whole payload.
+
+    PNG: the seed from the low bits, then that of the metadata, each as it is and then by offsets, each redundancy.
+    JPEG: the seed from the quantisation tables, then that of the metadata, each redundancy.
+    """
+    found = ("NotFound", None)
+    for candidate in (_jpeg_candidates if data[:2] == b"\xff\xd8" else _png_candidates)(data, redundancies):
+        status, whole = _checked(*candidate, key)
         if status == "Verified":
             return status, whole
         if found[0] == "NotFound":
@@ -58,6 +89,26 @@ def find_payload(data: bytes, key: bytes | None, redundancies=(1, 2)) -> tuple[s
     return found
 
 
+def _png_candidates(data: bytes, redundancies):
+    pixels = png.decode(data)
+    if pixels is None:
+        return
+    for seed in dict.fromkeys(s for s in (carrier.extract_seed(pixels), metadata_seed(data)) if s is not None):
+        for own in (seed, *[seed * (OFFSET + k) & _M for k in range(PASSES)]):
+            for r in redundancies:
+                read = lambda n, own=own, r=r: carrier.extract(pixels, n, own, r, reserved=carrier.SEED_SLOTS)
+                yield read(6), lambda n, read=read: [read(n)]
+
+
+def _jpeg_candidates(data: bytes, redundancies):
+    seeds = dict.fromkeys(s for s in (jpeg.extract_table_seed(data), metadata_seed(data)) if s is not None)
+    decoded = jpeg.decode(data) if seeds else None
+    for seed in seeds if decoded else ():
+        bits = jpeg.low_bits(decoded[1], seed)
+        for r in redundancies:
+            yield jpeg.voted(bits, 6, r), lambda n, bits=bits: [jpeg.voted(bits, n, k) for k in redundancies]
+
+
 def payload_magic() -> str:
     return payload.V3_MAGIC.lower()
 
@@ -74,7 +125,7 @@ def _payloads(key: bytes | None):
 def verify_notices(files: DataFrame, key: bytes | None = None) -> DataFrame:
     """One row per file (path, content): all notice fields, the policy signals, payload status and evidence strength.
 
-    Only a payload with a valid HMAC authenticates. Containers are walked once and pixels decoded once per file; files
+    Only a payload with a valid HMAC authenticates. Containers are walked once and pixels or coefficients decoded once per file; files
     of other formats have no notice.
     """
     prepare(files.sparkSession)
@@ -86,7 +137,7 @@ def verify_notices(files: DataFrame, key: bytes | None = None) -> DataFrame:
     xmp = containers.xmp_packets(found).select("path", "pos", *[c.alias(n) for n, c in signals.items()])
     first = lambda n: F.min_by(n, F.when(F.col(n).isNotNull(), F.col("pos"))).alias(n)
     policy = xmp.groupBy("path").agg(*[first(n) for n in signals])
-    marks = files.where(container_format(F.col("content")) == "png").select("path", "content").mapInArrow(_payloads(key), "path string, payload_status string, payload binary")
+    marks = files.where(container_format(F.col("content")).isin("png", "jpeg")).select("path", "content").mapInArrow(_payloads(key), "path string, payload_status string, payload binary")
     out = files.select("path", container_format(F.col("content")).alias("format")).join(fields, "path", "left").join(policy, "path", "left").join(marks, "path", "left")
     noticed = notice.has_notice([*notice.FIELDS, "rights_url", "dmi"])
     verified = F.coalesce(F.col("payload_status") == "Verified", F.lit(False))
@@ -94,12 +145,12 @@ def verify_notices(files: DataFrame, key: bytes | None = None) -> DataFrame:
     return out.withColumn("payload_status", F.coalesce("payload_status", F.lit("NotFound"))).withColumns({"authenticated": authenticated, "evidence_strength": notice.notice_strength(noticed, authenticated, verified)})
 
 
-def protect_png(data: bytes, pairs: list[tuple[str, str]], seed: int, policy: int, key: bytes | None = None, xmp: str | None = None) -> bytes:
+def protect_png(data: bytes, pairs: list[tuple[str, str]], seed: int, policy: int, key: bytes | None = None, xmp: str | None = None, redundancy: int = 1) -> bytes:
     """The file with notice texts, and a payload in its pixels if it fits."""
     pixels = png.decode(data)
     if pixels is not None:
         body = build_payload(seed, policy, hashlib.sha256(data).digest(), key)
-        marked = carrier.embed(carrier.embed_seed(pixels, seed), body, seed, reserved=carrier.SEED_SLOTS)
+        marked = carrier.embed(carrier.embed_seed(pixels, seed), body, seed, redundancy, reserved=carrier.SEED_SLOTS)
         extra = b"".join(png.text_chunk(k, v) for k, v in pairs) + (png.xmp_chunk(xmp) if xmp else b"")
         return png.encode(marked if marked is not None else pixels, extra)
     return png.with_texts(data, pairs)
