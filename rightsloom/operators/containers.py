@@ -7,9 +7,10 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.binary import container_format
 from ..session import prepare
 
@@ -130,3 +131,31 @@ def xmp_packets(found: DataFrame) -> DataFrame:
     webp = (F.col("format") == "webp") & (F.col("type") == "XMP ")
     body = F.when(png, F.expr(f"substring(make_valid_utf8(cast(data as string)), {len(png_key) + 6})")).when(jpeg, F.expr(f"substring(make_valid_utf8(cast(data as string)), {len(marker) + 1})")).otherwise(text)
     return found.where(png | jpeg | webp).select("path", F.col("idx").alias("pos"), body.alias("xmp"))
+
+
+def webp_fields(found: DataFrame) -> DataFrame:
+    """path, the notice fields and rights_url of the XMP chunks of WebP files. Each chunk overwrites all fields of those
+    before, but for the web statement, which stays until another has one; a chunk that isn't UTF-8 or is empty is skipped."""
+    x = F.col("xmp")
+
+    def unescaped(c: Column) -> Column:
+        for old, new in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
+            c = F.replace(c, F.lit(old), F.lit(new))
+        return c
+
+    inner = lambda tag: text.first_match(x, f"(?s)<{tag}>(.*?)</{tag}>")
+    plain = lambda tag: unescaped(F.nullif(inner(tag), F.lit("")))
+    alt = lambda tag: unescaped(F.nullif(text.first_match(inner(tag), "(?s)<rdf:li[^>]*>(.*?)</rdf:li>"), F.lit("")))
+    rights = alt("dc:rights")
+    trimmed = F.regexp_replace(rights, r"(?U)^\s+|\s+$", "")
+    seq = F.get(F.filter(F.regexp_extract_all(inner("dc:creator"), F.lit("(?s)<rdf:li>(.*?)</rdf:li>"), F.lit(1)), lambda v: v != ""), F.lit(0))
+    fields = {
+        "copyright_holder": F.coalesce(F.when(F.startswith(trimmed, F.lit("Copyright (c) ")), text.strip_copyright(trimmed)).otherwise(rights), plain("photoshop:DateCreated")),
+        "contact": plain("photoshop:Credit"), "license_url": F.lit(None).cast("string"), "usage_terms": alt("xmpRights:UsageTerms"), "ai_constraints": plain("stegoeggo:AIConstraints"),
+        "creator": unescaped(seq), "credit_line": plain("photoshop:Credit"), "copyright_owner": plain("stegoeggo:CopyrightOwner"), "licensor_name": plain("stegoeggo:LicensorName"),
+        "licensor_email": plain("stegoeggo:LicensorEmail"), "licensor_url": plain("stegoeggo:LicensorURL"), "metadata_date": plain("xmp:MetadataDate"), "notice_applied_at": plain("stegoeggo:NoticeAppliedAt"),
+    }
+    packets = found.where((F.col("format") == "webp") & (F.col("type") == "XMP ") & (F.octet_length("data") > 0)).withColumn("xmp", F.col("data").cast("string")).where(F.is_valid_utf8("xmp"))
+    read = packets.select("path", "idx", plain("xmpRights:WebStatement").alias("web"), F.struct(*[c.alias(n) for n, c in fields.items()]).alias("f"))
+    last = read.groupBy("path").agg(F.max_by("f", "idx").alias("f"), F.max_by("web", F.when(F.col("web").isNotNull(), F.col("idx"))).alias("web"))
+    return last.select("path", "f.*", F.col("web").alias("web_statement_of_rights"), F.col("web").alias("rights_url"))

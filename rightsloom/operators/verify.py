@@ -132,7 +132,7 @@ def verify_notices(files: DataFrame, key: bytes | None = None) -> DataFrame:
     found = containers.chunks(files)
     pairs = containers.text_pairs(found).withColumn("field", F.element_at(F.create_map(*[F.lit(x) for kv in notice.vocab.NOTICE_KEYS.items() for x in kv]), F.col("key")))
     pairs = pairs.where("field is not null").withColumn("value", F.when(F.col("key") == "Copyright", notice.text.strip_copyright(F.col("value"))).otherwise(F.col("value")))
-    fields = notice.notice_fields(pairs.select("path", "pos", "field", "value"), "path")
+    fields = notice.notice_fields(pairs.select("path", "pos", "field", "value"), "path").unionByName(containers.webp_fields(found))
     signals = notice.policy_signals(F.col("xmp"))
     xmp = containers.xmp_packets(found).select("path", "pos", *[c.alias(n) for n, c in signals.items()])
     first = lambda n: F.min_by(n, F.when(F.col(n).isNotNull(), F.col("pos"))).alias(n)
