@@ -321,14 +321,19 @@ def _pairs_batch(pairs) -> pa.RecordBatch:
 
 # ---- components
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", rounds: int | None = None) -> DataFrame:
     """node, root: for edges (a, b) each node's smallest reachable node, by alternating large and small stars.
 
-    Each round writes its edges to the shared folder. Stars are made by joins on nodes, whose skew AQE splits.
+    Each round writes its edges to the shared folder. Stars are made by joins on nodes, whose skew AQE splits. Rounds go on
+    until the edges stop changing; where a bound on them is given and reached before, that is an error.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     mark = None if e.limit(1).count() else False
-    for _ in range(rounds if mark is None else 0):
+    done = 0
+    while mark is not False:
+        if done == rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
+        done += 1
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -131,3 +131,9 @@ def test_stage_counts_rows_of_null_and_repeated_ids(spark):
     assert out.columns == docs.columns
     got = Counter((r.doc_id, r.text) if r.text is None or "gword" not in r.text else r.doc_id for r in out.collect())
     assert got == Counter([(1, text("a")), (None, text("b")), (None, ""), (None, None), (2, text("c")), (5, text("d")), (6, text("e")), (None, text("f")), 8])
+
+
+def test_components_that_still_change_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 60)], "a long, b long")
+    with pytest.raises(RuntimeError, match="still change"):
+        nj.components(chain, rounds=2)
