@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import attach_groups, bounded_broadcast, prepare, small, written
 
@@ -18,10 +17,21 @@ WORDS, PERCENT = 4, 85
 SLICE = 1 << 20
 #: Signatures (16 bytes) that a task gathers before it sends them on, and that a bucket holds on average.
 FLUSH, BUCKET = 1 << 18, 1 << 20
+#: Sets of a task with one signature from which on they make a piece of its tile; members of a signature that a bucket's task holds.
+HOT_IN_TASK, HELD = 64, 4096
+#: Width of the bitmaps that go to tiles, at most. A set's whole bitmap has no bound, see width().
 BITS = 2048
+#: Members (in MB of shingles) that are checked against one copy of their partner.
+MEMBERS_MB = 8
 #: Members of a tile's block: a task compares two blocks at a time.
 BLOCK = 2048
+#: Squares of tile sizes, in all, up to which all their pairs are taken at once.
+FEW_PAIRS = 200_000_000
+#: Edges of a graph that a task connects at a time.
+EDGES = 1_000_000
 MAX_BROADCAST_IDS = 2_000_000
+#: 64-bit names that unlike sets may share (they get others): chance makes some hundred among 10^11 sets.
+MAX_SHARED = 10_000
 
 # ---- shingles
 
@@ -90,72 +100,84 @@ def set_id(u: np.ndarray) -> int:
     return int((mix(u ^ _ODD[20]).sum(dtype=np.uint64, keepdims=True) * _ODD[21] + np.uint64(len(u))).view(np.int64)[0]) if len(u) else 0
 
 
+def set_check(u: np.ndarray) -> int:
+    """64 bits more: with them a name has 128."""
+    return int((mix(u ^ _ODD[22]).sum(dtype=np.uint64, keepdims=True) * _ODD[23] + np.uint64(len(u))).view(np.int64)[0]) if len(u) else 0
+
+
+def set_name(u: np.ndarray, shared: frozenset[int] = frozenset()) -> int:
+    """The 64-bit name; where sets with other 128-bit names share it, the one that both halves make."""
+    own = set_id(u)
+    return own ^ set_check(u) if own in shared else own
+
+
 # ---- signatures
 
 def _level(n: int) -> int:
-    """0 below 64 shingles, then one level for each doubling."""
-    return max(0, n.bit_length() - 6)
+    """0 below 8 shingles, then one level for each doubling."""
+    return max(0, n.bit_length() - 3)
 
 
-@cache
-def first_parts(percent: int) -> int:
-    """Parts of the hash space at level 1 (64 to 127 shingles): the fewest for which a set of the largest size, its own
-    or that of a partner from the level above, has over d non-empty parts but for a chance of 1 in 100,000.
+def most_apart(n: int, percent: int, smaller: bool) -> int:
+    """The most elements in which a set of n differs from a partner (both sides counted): from any, or from a smaller one."""
+    rest = 100 - percent
+    return 2 * rest * n // (100 + percent) if smaller else rest * n // percent
 
-    A set of n elements leaves about e = parts * exp(-n / parts) parts empty; Chernoff's bound on m or more is
-    exp(m - e) * (e / m) ** m. Later levels double sizes and parts, and their chance is far smaller. 29 at 85 %.
-    """
-    top, rest = 127, 100 - percent
-    above = 100 * top // percent
-    for parts in range(8, 4 * top):
-        left = []
-        for n, d in ((top, rest * top // percent), (above, 2 * rest * above // (100 + percent))):
-            e, m = parts * np.exp(-n / parts), parts - d
-            left.append(1.0 if m <= e else float(np.exp(m - e) * (e / m) ** m))
-        if max(left) < 1e-5:
-            return parts
-    return 4 * top
-
-
-def signatures(u: np.ndarray, percent: int = PERCENT, banded: bool = True) -> tuple[np.ndarray, bool]:
-    """Signatures of a set such that any two sets with enough Jaccard similarity share one; False if that isn't sure.
-
-    Let J >= percent / 100 and d be the most elements in which a set may differ from a partner. From level 1 on the
-    hash space is cut into parts (see first_parts), so that a part has a few elements of a set of that size. A part's
-    signature is the sum of its elements. Two partners differ in d parts at most, so of any d + 1 non-empty parts of
-    one, one is the same in the other; with one order for all (the signature's value) the d + 1 lowest of both
-    sets meet. Level 0 takes the elements themselves as parts. A pair meets at the level of its smaller set: each
-    set stands at its own level, and at the level below if a partner may be there.
+
+@cache
+def parts_of(level: int, percent: int) -> int:
+    """Parts of the hash space at a level: a tenth more than its sets (also those from the level above) may differ from partners."""
+    top = (8 << level) - 1
+    return 11 * max(most_apart(top, percent, False), most_apart(100 * top // percent, percent, True)) // 10 + 2
+
+
+def signatures(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Signatures of a set such that any two unlike sets with enough Jaccard similarity share one.
+
+    Let J >= percent / 100 and d be the most elements in which a set may differ from a partner. At each level the hash
+    space is cut into more than d parts. A part's signature is the sum of its elements, or says that it is empty. Two
+    partners differ in d parts at most, so all but d of their signatures are the same; with one order for all, the
+    lowest one they share is among the d + 1 first of both. That order has parts of many elements first, for they
+    seldom meet by a passage that many documents share, and empty ones last. A pair meets at the level of its smaller
+    set: each set stands at its own level, and at those below where a partner may be. Sets too small to differ from a
+    partner have no signature: their partners are equal sets, which are one class.
     """
     n = len(u)
-    if not n:
-        return np.zeros(0, np.uint64), True
-    rest = 100 - percent
-    out, sure = [], True
-    small = -(-percent * n // 100)
-    for level in {_level(n), _level(small)} if banded else {0}:
-        own = level == _level(n) or not banded
-        if level == 0:
-            need = -(-percent * n // 100)
-            out.append(mix(u[: n - need + 1] ^ _ODD[30]))
+    out = []
+    own = _level(n)
+    for level in range(_level(-(-percent * n // 100)), own + 1) if n else ():
+        d = most_apart(n, percent, level < own)
+        if not d:
             continue
-        d = rest * n // percent if own else 2 * rest * n // (100 + percent)
-        parts = first_parts(percent) << (level - 1)
+        parts = parts_of(level, percent)
         part = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        s = mix(np.add.reduceat(mix(u ^ _ODD[31]), starts) + part[starts] * _ODD[32] + _ODD[33 + min(level, 6)])
+        salt = mix(_ODD[35:36] + np.uint64(level))
+        s = mix(np.add.reduceat(mix(u ^ _ODD[31]), starts) + part[starts] * _ODD[32] + salt)
+        s = s[np.lexsort((s, -np.diff(np.append(starts, n))))][: d + 1]
         if len(s) <= d:
-            sure = False
-        out.append(np.sort(s)[: d + 1])
-    return np.concatenate(out), sure
+            bare = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts])[: d + 1 - len(s)]
+            s = np.concatenate([s, mix(bare * _ODD[34] + salt)])
+        out.append(s)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def width(n: int) -> int:
+    """Bits for a set of n: unlike sets of n then differ in about 0.9 n bits or more, partners in 0.25 n at most (at 80 %)."""
+    return max(64, 1 << (2 * n - 1).bit_length())
 
 
 def bitmap(u: np.ndarray, bits: int = BITS) -> bytes:
     """Each bit tells whether an odd number of elements hash to it: what two sets share cancels in their xor."""
-    place = ((u * _ODD[40]) >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
+    place = (u & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (last axis: uint64) as they are with fewer words: the xor of their pieces."""
+    return np.bitwise_xor.reduce(bits.reshape(*bits.shape[:-1], -1, words), axis=-2)
+
+
 def may_link(a_n, b_n, a_bits: np.ndarray, b_bits: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Sizes and bitmaps (rows of uint64) that allow a link. A bit that differs needs an element that differs, so the
     count of differing bits bounds the overlap from above: both <= (a + b - differing bits) / 2."""
@@ -175,101 +197,187 @@ def _set_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
-            columns = [pa.array([len(u) for u in sets], pa.int64()), pa.array([set_id(u) for u in sets], pa.int64()), pa.array([bitmap(u) for u in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], ["row", "doc_id", "n", "set_id", "bits"])
+            columns = [pa.array([f(u) for u in sets], pa.int64()) for f in (len, set_id, set_check)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], ["row", "doc_id", "n", "set_id", "check"])
 
     return run
 
 
-def _signature_rows(words: int, percent: int, buckets: int, banded: bool):
-    """Packed signatures by bucket; a set that stands several times in a task is sent once."""
+#: What a packed row holds: members of signatures, pieces of a hot signature's members, one member for each such piece.
+PLAIN, PIECE, HOT = 0, 1, 2
 
-    def packed(sig: np.ndarray, ids: np.ndarray, unsure: int) -> pa.RecordBatch:
-        bucket = (sig % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        groups = np.split(order, cuts) if len(order) else []
-        rows = [sig[g].tobytes() + ids[g].tobytes() for g in groups]
-        return pa.RecordBatch.from_arrays([pa.array([int(bucket[g[0]]) for g in groups] + [-1] * bool(unsure), pa.int64()), pa.array(rows + [b""] * bool(unsure), pa.binary())], ["bucket", "packed"])
+
+def _signature_rows(words: int, percent: int, buckets: int, shared: frozenset[int], many: int):
+    """bucket, kind, packed: signatures and the sets that have them, by ranges of signatures.
+
+    A set that stands several times in a task is sent once. Where many sets of a task share a signature, only one of
+    them goes to the signature's bucket; the others stay together as a piece of the tile, sent anywhere.
+    """
+
+    def packed(sig: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((ids, sig))
+        sig, ids = sig[order], ids[order]
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(np.append(starts, len(sig)))
+        rows: list[tuple[int, int, bytes]] = []
+        for at, k in zip(starts[size >= many].tolist(), size[size >= many].tolist(), strict=True):
+            for a in range(at, at + k, FLUSH):
+                rows.append((int(ids[a]) % buckets, PIECE, sig[at : at + 1].tobytes() + ids[a : min(a + FLUSH, at + k)].tobytes()))
+        hot = np.repeat(size >= many, size)
+        first = np.zeros(len(sig), bool)
+        first[starts] = True
+        for kind, chosen in ((PLAIN, ~hot), (HOT, hot & first)):
+            s, i = sig[chosen], ids[chosen]
+            bucket = (((s >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(s)]
+            rows += [(int(bucket[a]), kind, s[a:b].tobytes() + i[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["bucket", "kind", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        sigs, ids, size, unsure = [], [], 0, 0
+        sigs, ids, size = [], [], 0
         for batch in small(batches):
             for u in shingle_sets(batch.column("text").to_pylist(), words):
-                own = set_id(u)
+                own = set_name(u, shared)
                 if not len(u) or own in seen:
                     continue
                 if len(seen) > FLUSH:
                     seen.clear()
                 seen.add(own)
-                s, sure = signatures(u, percent, banded)
-                unsure += not sure
+                s = signatures(u, percent)
                 sigs.append(s)
                 ids.append(np.full(len(s), own, np.int64))
                 size += len(s)
             if size > FLUSH:
-                yield packed(np.concatenate(sigs), np.concatenate(ids), unsure)
-                sigs, ids, size, unsure = [], [], 0, 0
-        if sigs:
-            yield packed(np.concatenate(sigs), np.concatenate(ids), unsure)
+                yield packed(np.concatenate(sigs), np.concatenate(ids))
+                sigs, ids, size = [], [], 0
+        if size:
+            yield packed(np.concatenate(sigs), np.concatenate(ids))
 
     return run
 
 
-def _tiles_of(table: pa.Table) -> pa.Table:
-    """Members of each signature that two sets or more have. A tile is named by its members, so that signatures with
-    the same members are one tile; of those only one is kept here."""
-    sigs, ids = [], []
-    for x in table.column("packed").to_pylist():
-        half = len(x) // 2
-        sigs.append(np.frombuffer(x[:half], np.uint64))
-        ids.append(np.frombuffer(x[half:], np.int64))
-    sig, own = np.concatenate(sigs), np.concatenate(ids)
-    order = np.lexsort((own, sig))
-    sig, own = sig[order], own[order]
-    if len(sig):
-        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])])
-        sig, own = sig[new], own[new]
-        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+def _tiles(bucket: int, most: int):
+    """Tiles (tile, set_id): members of each signature that two sets or more have, from one or more buckets.
+
+    A tile is named by its members, so that signatures with the same members are one tile. Hot signatures give their
+    own name, and their members go on as they come: no more of one are held than the limit.
+    """
+    name_of = lambda sig: mix(sig ^ _ODD[51]).view(np.int64)
+    batch_of = lambda tile, ids: pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(ids)], ["tile", "set_id"])
+
+    def settled(sig, ids, hot):
+        """Sorted without repeats; starts and sizes of signatures, and which are hot."""
+        order = np.lexsort((ids, sig))
+        sig, ids, hot = sig[order], ids[order], hot[order]
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        any_hot = np.logical_or.reduceat(hot, starts) if len(sig) else hot
+        marked = np.repeat(any_hot, np.diff(np.append(starts, len(sig))))
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])]) if len(sig) else np.zeros(0, bool)
+        sig, ids, marked = sig[new], ids[new], marked[new]
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else starts
         size = np.diff(np.append(starts, len(sig)))
-        name = mix(np.add.reduceat(mix(own.view(np.uint64) ^ _ODD[50]), starts) + size.astype(np.uint64))
-        _, first = np.unique(name, return_index=True)
-        once = np.zeros(len(starts), bool)
-        once[first] = True
-        keep = np.repeat(once & (size > 1), size)
-        tile, own = np.repeat(name, size)[keep], own[keep]
-    else:
-        tile = sig
-    return pa.table({"tile": tile.view(np.int64), "set_id": own})
+        return sig, ids, marked, starts, size
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        count, limit = 0, 4 * bucket
+
+        def joined():
+            cat = [np.concatenate([h[k] for h in held]) if held else np.zeros(0, t) for k, t in enumerate((np.uint64, np.int64, bool))]
+            return settled(*cat)
+
+        for batch in batches:
+            for kind, raw in zip(batch.column("kind").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                if kind == PIECE:
+                    ids = np.frombuffer(raw, np.int64, offset=8)
+                    yield batch_of(np.repeat(name_of(np.frombuffer(raw, np.uint64, 1)), len(ids)), ids)
+                    continue
+                half = len(raw) // 2
+                ids = np.frombuffer(raw[half:], np.int64)
+                held.append((np.frombuffer(raw[:half], np.uint64), ids, np.full(len(ids), kind == HOT)))
+                count += len(ids)
+            if count > limit:  # of signatures with many members one member stays
+                sig, ids, marked, starts, size = joined()
+                many = np.repeat(size > most, size)
+                if many.any():
+                    yield batch_of(name_of(sig[many]), ids[many])
+                first = np.zeros(len(sig), bool)
+                first[starts] = True
+                keep = ~many | first
+                held = [(sig[keep], ids[keep], (marked | many)[keep])]
+                count = int(keep.sum())
+                limit = max(limit, 2 * count)
+        sig, ids, marked, starts, size = joined()
+        if len(sig):
+            yield batch_of(name_of(sig[marked]), ids[marked])
+            name = mix(np.add.reduceat(mix(ids.view(np.uint64) ^ _ODD[50]), starts) + size.astype(np.uint64))
+            once = np.zeros(len(starts), bool)
+            once[np.unique(name, return_index=True)[1]] = True
+            keep = np.repeat(once & (size > 1), size) & ~marked
+            yield batch_of(np.repeat(name, size)[keep], ids[keep])
 
-def _tiles_or_flag(table: pa.Table) -> pa.Table:
-    if table.column("bucket")[0].as_py() < 0:
-        return pa.table({"tile": pa.array([None], pa.int64()), "set_id": pa.array([None], pa.int64())})
-    return _tiles_of(table)
+    return run
 
 
-def _wanted_sets(words: int):
+def _full_sets(words: int, shared: frozenset[int]):
+    """Rows (text, set_id): set_id, n, bits, narrow (null where it is bits), shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
-            wanted = batch.column("set_id").to_pylist()
-            ids = [set_id(u) for u in sets]
-            keep = [i for i, w in enumerate(wanted) if w is None or w == ids[i]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["set_id", "shingles"]
-            )
+            if batch.column("set_id").to_pylist() != [set_name(u, shared) for u in sets]:
+                raise RuntimeError("the documents changed between two reads")
+            bits = [bitmap(u, width(len(u))) for u in sets]
+            narrow = [folded(np.frombuffer(b, np.uint64), BITS // 64).tobytes() if len(b) > BITS // 8 else None for b in bits]
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array([len(u) for u in sets], pa.int64()), *[pa.array(c, pa.binary()) for c in (bits, narrow, [u.tobytes() for u in sets])]], ["set_id", "n", "bits", "narrow", "shingles"])
+
+    return run
+
+
+def _by_bits(percent: int):
+    """Pairs (a, a_n, a_bits, b, b_n, b_bits) whose whole bitmaps allow a link: a, b, part.
+
+    A part of the partners of b is as many as MEMBERS_MB of shingles hold, of one task.
+    """
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task, given = TaskContext.get().partitionId() << 32, {}
+        for batch in small(batches, 1024):
+            a_n, b_n = (np.asarray(batch.column(c)) for c in ("a_n", "b_n"))
+            ok = 100 * np.minimum(a_n, b_n) >= percent * np.maximum(a_n, b_n)
+            for i in np.flatnonzero(ok).tolist():
+                x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in ("a_bits", "b_bits"))
+                words = min(len(x), len(y))
+                ok[i] = may_link(a_n[i], b_n[i], folded(x, words), folded(y, words), percent)
+            kept = batch.select(["a", "b"]).filter(pa.array(ok))
+            parts = []
+            for b, n in zip(kept.column("b").to_pylist(), a_n[ok].tolist(), strict=True):
+                given[b] = given.get(b, 0) + 8 * n
+                parts.append(task + (given[b] >> 20) // MEMBERS_MB)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(parts, pa.int64())], ["a", "b", "part"])
 
     return run
 
 
-def _by_shingles(percent: int):
+def _against_pivot(percent: int):
+    """Rows (b, part, a, shingles) by b and part, that of b itself (a is null) first: the pairs (a, b) that link. One set is held at a time."""
+
     def run(batches):
-        for b in small(batches, 1024):
-            pairs = zip(b.column("a_s").to_pylist(), b.column("b_s").to_pylist(), strict=True)
-            ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in pairs]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        key = pivot = None
+        for batch in small(batches, 1024):
+            columns = [batch.column(c).to_pylist() for c in ("b", "part", "a", "shingles")]
+            found = []
+            for b, part, a, raw in zip(*columns, strict=True):
+                if a is None:
+                    key, pivot = (b, part), np.frombuffer(raw, np.uint64)
+                elif key != (b, part):
+                    raise RuntimeError(f"set {b} isn't there")
+                elif links(pivot, np.frombuffer(raw, np.uint64), percent):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -279,19 +387,26 @@ def _tile_pairs(percent: int, forest: bool):
     bitmaps allow a link: all of them, or only so many that they connect what all of them connect."""
 
     def compare(rows: list[tuple]) -> list[tuple[int, int]]:
+        rows.sort(key=lambda r: r[2])
         ids, comp, n, block = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-        bits = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(-1, BITS // 64)
-        two = block[0] != block[-1] or (block != block[0]).any()
-        found = []
+        two = (block != block[0]).any()
+        size = np.array([len(r[4]) // 8 for r in rows])
+        bits, found = {}, []  # width in words: all rows of that width or the next, folded to it
+        for w in np.unique(size).tolist():
+            at = np.flatnonzero((size == w) | (size == 2 * w))
+            bits[w] = (at[0], np.stack([np.frombuffer(rows[i][4], np.uint64) if size[i] == w else folded(np.frombuffer(rows[i][4], np.uint64), w) for i in at]))
+        ends = np.searchsorted(n, 100 * n // percent, side="right")
         for i in range(len(ids) - 1):
-            j = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((block[i + 1 :] != block[i]) if two else True)) + i + 1
+            first, table = bits[int(size[i])]
+            j = np.arange(i + 1, max(i + 1, min(int(ends[i]), first + len(table))))
+            j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) if two else True)]
             if len(j):
-                j = j[may_link(n[j], n[i], bits[j], bits[i], percent)]
+                j = j[may_link(n[j], n[i], table[j - first], table[i - first], percent)]
             if len(j):
                 if forest:
-                    parts, first = np.unique(comp[j], return_index=True)
+                    parts, one = np.unique(comp[j], return_index=True)
                     comp[np.isin(comp, parts)] = comp[i]
-                    j = j[first]
+                    j = j[one]
                 found += [(min(ids[i], ids[x]), max(ids[i], ids[x])) for x in j]
         return found
 
@@ -304,9 +419,9 @@ def _tile_pairs(percent: int, forest: bool):
                     rows = []
                 at = tile
                 rows.append(row)
-            if len(out) > 10_000:
-                yield _pairs_batch(out)
-                out = []
+                if len(out) > 10_000:
+                    yield _pairs_batch(out)
+                    out = []
         if rows:
             out += compare(rows)
         yield _pairs_batch(out)
@@ -319,28 +434,95 @@ def _pairs_batch(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in unique], pa.int64()), pa.array([p[1] for p in unique], pa.int64())], ["a", "b"])
 
 
+def _blocks(block: int):
+    """Rows in order of tile: the number of each one's block, at most so many rows of one tile."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        at, inside, number = None, 0, TaskContext.get().partitionId() << 40
+        for b in batches:
+            out = []
+            for tile in b.column("tile").to_pylist():
+                if tile != at or inside == block:
+                    at, inside, number = tile, 0, number + 1
+                inside += 1
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "block"])
+
+    return run
+
+
 # ---- components
 
+def _hot_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str, total: int) -> DataFrame:
+    """Left join with a written table of groups by a long key, whatever part of the rows one key holds."""
+    return attach_groups(rows, groups, key, size, total, F.xxhash64(F.lit("spread"), spread))
+
+
+def _stars(most: int):
+    """Edges (u, v) as edges from each node to the smallest one it reaches, by so many of them at a time."""
+
+    def solved(held: list[np.ndarray]) -> pa.RecordBatch:
+        pair = np.concatenate(held)
+        nodes, at = np.unique(pair, return_inverse=True)
+        at = at.reshape(-1, 2)
+        low = np.arange(len(nodes))
+        while True:
+            # each node takes the least label around it, then labels are followed to their end
+            least = np.minimum(low[at[:, 0]], low[at[:, 1]])
+            new = low.copy()
+            for k in (0, 1):
+                np.minimum.at(new, low[at[:, k]], least)
+                np.minimum.at(new, at[:, k], least)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == low).all():
+                break
+            low = new
+        far = low != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[low[far]])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(np.stack([np.asarray(batch.column(c)) for c in ("u", "v")], 1))
+                count += batch.num_rows
+            if count >= most:
+                yield solved(held)
+                held, count = [], 0
+        if count:
+            yield solved(held)
+
+    return run
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int | None = None) -> DataFrame:
-    """node, root: for edges (a, b) each node's smallest reachable node, by alternating large and small stars.
+    """node, root: for edges (a, b) each node's smallest reachable node.
 
-    Each round writes its edges to the shared folder. Stars are made by joins on nodes, whose skew AQE splits. Rounds go on
-    until the edges stop changing; where a bound on them is given and reached before, that is an error.
+    Tasks make stars of the edges they hold (some EDGES each), which is all where one task holds them. Beyond that large
+    and small stars take turns over all edges. Each round writes its edges to the shared folder. A node with very many
+    neighbours gets its row by broadcast, see attach_groups(). Rounds go on until the edges stop changing; where a
+    bound on them is given and reached before, that is an error.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    mark = None if e.limit(1).count() else False
-    done = 0
-    while mark is not False:
+    n = e.count()
+    whole = n < EDGES
+    e = written(e.coalesce(n // EDGES + 1).mapInArrow(_stars(EDGES), "u long, v long"), name)
+    mark, done = None, 0
+    while not whole:
         if done == rounds:
             raise RuntimeError(f"components still change after {rounds} rounds")
         done += 1
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        e = written(small.union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), name)
+        low = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")).withColumn("m", F.least("u", "m")), name)
+        large = _hot_join(both, low, "u", "deg", "v", 2 * e.count()).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = written(large.distinct(), name)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")), name)
+        few = _hot_join(large, low, "u", "deg", "v", large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        few = few.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        e = written(few.union(low.select("u", F.col("m").alias("v"))).distinct(), name)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -349,145 +531,204 @@ def components(edges: DataFrame, name: str = "components", rounds: int | None =
     return stars.union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 
+def _merged(comp: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Components (node, root) with the links found between them."""
+    if comp is None:
+        return written(components(found), "ngram_parts")
+    named = found
+    for c in ("a", "b"):
+        of = comp.select(F.col("node").alias(c), F.col("root").alias("r"))
+        named = named.join(of, c, "left").withColumn(c, F.coalesce("r", c)).drop("r")
+    new = components(named).withColumnsRenamed({"node": "old", "root": "new"})
+    moved = comp.join(new, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    fresh = new.join(comp, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return written(moved.union(fresh), "ngram_parts")
+
+
 # ---- join
 
-def tile_table(docs: DataFrame, total_shingles: int, words: int, percent: int) -> DataFrame:
-    """tile, set_id: sets that share a signature; should the bands' guarantee fail for any set, all sets go unbanded."""
+def tile_table(docs: DataFrame, total_shingles: int, words: int, percent: int, shared: frozenset[int] = frozenset()) -> DataFrame:
+    """tile, set_id: sets that share a signature."""
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for banded in (True, False):
-        buckets = max(shuffles, int(total_shingles * 0.25) // BUCKET)
-        packed = docs.mapInArrow(_signature_rows(words, percent, buckets, banded), "bucket long, packed binary")
-        tiles = written(packed.groupBy("bucket").applyInArrow(lambda t: _tiles_or_flag(t), "tile long, set_id long").distinct(), "ngram_tiles")
-        if not tiles.where("tile is null").limit(1).count():
-            break
-    return tiles
+    buckets = max(shuffles, int(total_shingles * 1.2 * (100 - percent) / percent) // BUCKET)
+    packed = docs.mapInArrow(_signature_rows(words, percent, buckets, shared, HOT_IN_TASK), "bucket long, kind int, packed binary")
+    return written(packed.repartition(buckets, "bucket").mapInArrow(_tiles(BUCKET, HELD), "tile long, set_id long").distinct(), "ngram_tiles")
 
 
-def blocked(members: DataFrame, percent: int) -> DataFrame:
-    """Members of tiles (tile, set_id, n, ...) with block: tiles of over BLOCK members become pairs of blocks by size.
+def blocked(members: DataFrame, big: DataFrame, n: int, percent: int) -> DataFrame:
+    """Members of tiles (tile, set_id, comp, n) with block: the n big tiles (of over BLOCK members) become pairs of blocks.
 
-    Blocks follow the members' sizes; two blocks meet only if their sizes allow a link, and each meets itself.
+    Blocks follow sizes, with the tile's largest component apart. Two blocks meet only if their sizes allow a link
+    and they don't hold one component alone; each meets itself.
     """
-    sizes = members.groupBy("tile").agg(F.count("*").alias("members"))
-    big = written(sizes.where(F.col("members") > BLOCK), "ngram_big")
-    few = F.broadcast(big) if big.count() <= MAX_BROADCAST_IDS else big
+    if not n:
+        return members.withColumn("block", F.lit(0).cast("long"))
+    few = bounded_broadcast(big, n, MAX_BROADCAST_IDS)
     small = members.join(few, "tile", "left_anti").withColumn("block", F.lit(0).cast("long"))
-    rank = Window.partitionBy("tile").orderBy("n", "set_id")
-    large = members.join(few.select("tile"), "tile", "left_semi")
-    large = written(large.withColumn("block", F.floor((F.row_number().over(rank) - 1) / BLOCK).cast("long")), "ngram_large")
-    ranges = large.groupBy("tile", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = ranges.select("tile", F.col("block").alias("i"), F.col("hi").alias("x")), ranges.select("tile", F.col("block").alias("j"), F.col("lo").alias("y"))
-    blocks = x.join(y, "tile").where(f"i <= j and 100 * x >= {percent} * y").select("tile", "i", "j")
-    sides = blocks.select("tile", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), "i", "j")
-    pieces = large.join(sides, ["tile", "block"]).withColumn("tile", F.xxhash64("tile", "i", "j")).select(*members.columns, "block")
+    large = written(members.join(few, "tile", "left_semi"), "ngram_large")
+    top = large.groupBy("tile", "comp").agg(F.count("*").alias("k")).groupBy("tile").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"))
+    large = large.join(bounded_broadcast(top, n, MAX_BROADCAST_IDS), "tile").withColumn("apart", F.col("comp") != F.col("top")).drop("top")
+    ordered = large.repartitionByRange("tile", "apart", "n", "set_id").sortWithinPartitions("tile", "apart", "n", "set_id")
+    large = written(ordered.mapInArrow(_blocks(BLOCK), "tile long, set_id long, comp long, n long, apart boolean, block long").drop("apart"), "ngram_blocks")
+    ranges = written(large.groupBy("tile", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c"), F.max("comp").alias("d")), "ngram_ranges")
+    x, y = (ranges.select("tile", *[F.col(c).alias(f"{p}_{c}") for c in ("block", "lo", "hi", "c", "d")]) for p in "xy")
+    meet = f"x_block <= y_block and 100 * x_hi >= {percent} * y_lo and 100 * y_hi >= {percent} * x_lo and not (x_c = x_d and y_c = y_d and x_c = y_c)"
+    sides = x.join(y, "tile").where(meet).select("tile", F.explode(F.array_distinct(F.array("x_block", "y_block"))).alias("block"), "x_block", "y_block")
+    pieces = large.join(sides, ["tile", "block"]).withColumn("tile", F.xxhash64("tile", "x_block", "y_block")).select(*members.columns, "block")
     return small.unionByName(pieces)
 
 
-def similar_sets(docs: DataFrame, rows: DataFrame, sets: DataFrame, total_shingles: int, words: int, percent: int, rounds: int = 4) -> DataFrame | None:
-    """a, b: links of set ids that connect exactly what all links connect. None without any.
+class Linker:
+    """Links between sets that share tiles. tiles: tile, set_id; sets: set_id, n, bits, narrow, shingles."""
 
-    Every round takes the tiles with members of different components and gives pairs that connect, within each
-    tile, what the bitmaps allow; those are checked exactly and the components renewed. When a round adds
-    nothing, all remaining pairs that the bitmaps allow are checked, so that no link is missed.
-    """
-    tiles = tile_table(docs, total_shingles, words, percent)
-    light = rows.join(tiles.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    light = written(light, "ngram_light")
-    members = written(blocked(tiles.join(light.select("set_id", "n"), "set_id").select("tile", "set_id", "n"), percent), "ngram_members")
+    def __init__(self, tiles: DataFrame, sets: DataFrame, percent: int):
+        self.tiles, self.sets, self.percent = tiles, sets, percent
+        self.total = tiles.count()
 
-    def candidates(comp: DataFrame | None, forest: bool) -> DataFrame:
-        named = members.withColumn("comp", F.col("set_id"))
+    def named(self, comp: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+        """tile, set_id, comp; and of the tiles that hold members of different components: tile, pivot (by turns another member), size."""
+        named = self.tiles.withColumn("comp", F.col("set_id"))
         if comp is not None:
-            named = members.join(comp, F.col("set_id") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "set_id")).drop("node", "root")
-            mixed = named.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tile")
-            named = named.join(mixed, "tile", "left_semi")
-        tiled = named.join(light.select("set_id", "bits"), "set_id").select("tile", "set_id", "comp", "n", "block", "bits")
+            named = self.tiles.join(comp, F.col("set_id") == F.col("node"), "left").select("tile", "set_id", F.coalesce("root", "set_id").alias("comp"))
+            named = written(named, "ngram_named")
+        pivot = F.struct(F.xxhash64("comp", F.lit(turn)).alias("order"), F.col("comp").alias("other"), F.col("set_id").alias("b"))
+        groups = named.groupBy("tile").agg(F.min(pivot).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+        return named, written(groups.where("low <> high").drop("low", "high"), "ngram_pivots")
+
+    def hooks(self, comp: DataFrame | None, turn: int) -> DataFrame:
+        """a, b: each set and one pivot of its tiles, a member of another component."""
+        named, groups = self.named(comp, turn)
+        near = _hot_join(named, groups, "tile", "size", "set_id", self.total).where("comp <> pivot.other")
+        return near.groupBy(F.col("set_id").alias("a")).agg(F.min("pivot").alias("pivot")).select("a", "pivot.b")
+
+    def met(self, comp: DataFrame | None, forest: bool | None) -> tuple[DataFrame, bool]:
+        """a, b: pairs of different components that their tiles' narrow bitmaps allow, see _tile_pairs(); and whether they
+        are no more than a forest. forest None: all pairs, if tiles have few, else a forest."""
+        named, groups = self.named(comp, 0)
+        work, big = groups.agg(F.sum(F.expr("cast(size as double) * size")), F.count_if(F.col("size") > BLOCK)).first()
+        forest = (work or 0) > FEW_PAIRS if forest is None else forest
+        narrow = self.sets.select("set_id", "n", F.coalesce("narrow", "bits").alias("bits"))
+        members = _hot_join(named, groups.drop("pivot"), "tile", "size", "set_id", self.total).where("size is not null").drop("size")
+        members = members.join(narrow.select("set_id", "n"), "set_id").select("tile", "set_id", "comp", "n")
+        if big:
+            members = written(members, "ngram_members")
+        members = blocked(members, groups.where(F.col("size") > BLOCK).select("tile"), big, self.percent)
+        tiled = members.join(narrow.select("set_id", "bits"), "set_id").select("tile", "set_id", "comp", "n", "block", "bits")
         tiled = tiled.repartition("tile").sortWithinPartitions("tile", "set_id")
-        return tiled.mapInArrow(_tile_pairs(percent, forest), "a long, b long").distinct()
-
-    pairs = written(candidates(None, True), "ngram_pairs")
-    if not pairs.limit(1).count():
-        return None
-    full = _shingles_of(docs, rows, sets, pairs, words)
-
-    def exact(pairs: DataFrame) -> DataFrame:
-        one = full.select(F.col("set_id").alias("a"), F.col("shingles").alias("a_s"))
-        two = full.select(F.col("set_id").alias("b"), F.col("shingles").alias("b_s"))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "a_s", "b_s").mapInArrow(_by_shingles(percent), "a long, b long").distinct()
-
-    found = written(exact(pairs), "ngram_links")
-    for k in range(rounds):
-        comp = written(components(found), "ngram_parts")
-        more = written(exact(candidates(comp, forest=k < rounds - 1)), "ngram_links")
-        if more.limit(1).count():
-            found = found.union(more)
-        elif k < rounds - 1:
-            return found.union(written(exact(candidates(comp, forest=False)), "ngram_links"))
-    return found
-
-
-def _shingles_of(docs: DataFrame, rows: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """set_id, shingles of all sets in pairs. Any set with a partner that its bitmap allows is in the first round's pairs."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(sets, "set_id")
-    involved = written(involved.select(F.col("rep").alias("doc_id"), "set_id"), "ngram_involved")
-    texts = docs.join(bounded_broadcast(involved, involved.count(), MAX_BROADCAST_IDS), "doc_id").select("doc_id", "text", "set_id")
-    shape = "set_id long, shingles binary"
-    full = texts.mapInArrow(_wanted_sets(words), shape)
-    nameless = involved.where("doc_id is null").select("set_id")  # sets that only rows without id have
-    if nameless.limit(1).count():
-        more = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("set_id"))
-        full = full.union(more.mapInArrow(_wanted_sets(words), shape).join(nameless, "set_id", "left_semi")).dropDuplicates(["set_id"])
-    elif rows.groupBy("doc_id").count().where("count > 1").limit(1).count():  # ids that repeat may bring a set twice
-        full = full.dropDuplicates(["set_id"])
-    return written(full, "ngram_sets")
+        return tiled.mapInArrow(_tile_pairs(self.percent, forest), "a long, b long").distinct(), forest
+
+    def exact(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link: by whole bitmaps, then by intersecting sorted arrays.
+
+        Each set a is sent to its partner b; a partner of many is sent once for every part of them, to different tasks.
+        """
+        one, two = (self.sets.select(F.col("set_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
+        allowed = pairs.join(one, "a").join(two, "b").select("a", "a_n", "a_bits", "b", "b_n", "b_bits")
+        allowed = written(allowed.mapInArrow(_by_bits(self.percent), "a long, b long, part long"), "ngram_allowed")
+        n = allowed.count()
+        if not n:
+            return allowed.select("a", "b")
+        full = self.sets.select("set_id", "shingles")
+        here = lambda left, key: full.join(bounded_broadcast(left, n, MAX_BROADCAST_IDS), F.col("set_id") == F.col(key))
+        members = here(allowed, "a").select("b", "part", "a", "shingles")
+        pivots = here(allowed.select("b", "part").distinct(), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "shingles")
+        rows = members.union(pivots).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+        return written(rows.mapInArrow(_against_pivot(self.percent), "a long, b long"), "ngram_links")
+
+
+def similar_sets(tiles: DataFrame, sets: DataFrame, percent: int, turns: int = 2) -> DataFrame | None:
+    """node, root: components of sets by links. None without any link.
+
+    First every set is checked against one pivot of its tiles, by turns, and what links becomes one component: a large
+    group of near copies is joined by as many checks as it has members. Then only tiles with members of different
+    components matter. Their pairs that bitmaps allow are all checked, so that no link between components is missed;
+    where tiles may have very many, so many pairs that they connect each tile come before, until that adds nothing.
+    """
+    linker = Linker(tiles, sets, percent)
+    comp = None
+    for turn in range(turns):
+        found = linker.exact(linker.hooks(comp, turn))
+        if not found.limit(1).count():
+            break
+        comp = _merged(comp, found)
+    forest: bool | None = None
+    while True:
+        pairs, forest = linker.met(comp, forest)
+        found = linker.exact(pairs)
+        some = found.limit(1).count()
+        if some:
+            comp = _merged(comp, found)
+        if not forest:  # all were checked
+            return comp
+        forest = None if some else False
 
 
 def linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """For docs (row, doc_id, text): its rows (row, doc_id, n, set_id, bits), the classes of equal sets (set_id, rep,
-    copies), and links of sets as similar_sets() gives them."""
-    rows = written(docs.mapInArrow(_set_rows(words), "row long, doc_id long, n long, set_id long, bits binary"), "ngram_rows")
-    sets = written(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "ngram_classes")
+    """For docs (row, doc_id, text): its rows (row, doc_id, n, set_id), the classes of equal sets (set_id, rep, row,
+    copies), and components of linked sets (node, root) or None.
+
+    docs is read three times and must give the same rows each time, as a table does.
+    """
+    rows = written(docs.mapInArrow(_set_rows(words), "row long, doc_id long, n long, set_id long, check long"), "ngram_rows")
     total = rows.agg(F.sum("n")).first()[0]
-    return rows, sets, similar_sets(docs.drop("row"), rows, sets, int(total), words, percent) if total else None
+    low = [F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.count("*").alias("copies"), F.min("check").alias("c0"), F.max("check").alias("c1")]
+    classes = written(rows.where("n > 0").groupBy("set_id").agg(*low), "ngram_classes")
+    clash = [r[0] for r in classes.where("c0 <> c1").select("set_id").limit(MAX_SHARED + 1).collect()]
+    if len(clash) > MAX_SHARED:
+        raise RuntimeError(f"over {MAX_SHARED} names of sets are shared by unlike sets")
+    shared = frozenset(clash)
+    if shared:
+        rows = rows.withColumn("set_id", F.when(F.col("set_id").isin(clash) & (F.col("n") > 0), F.col("set_id").bitwiseXOR(F.col("check"))).otherwise(F.col("set_id")))
+        classes = written(rows.where("n > 0").groupBy("set_id").agg(*low), "ngram_classes")
+    rows, classes = rows.drop("check"), classes.drop("c0", "c1")
+    if not total:
+        return rows, classes, None
+    tiles = tile_table(docs.select("text"), int(total), words, percent, shared)
+    wanted = written(classes.join(tiles.select("set_id").distinct(), "set_id", "left_semi").select("row", "set_id"), "ngram_wanted")
+    n = wanted.count()
+    # all columns are read, as for rows: with others, a plan that deals rows out by their values would number them anew
+    texts = docs.join(bounded_broadcast(wanted, n, MAX_BROADCAST_IDS), "row")
+    sets = written(texts.mapInArrow(_full_sets(words, shared), "set_id long, n long, bits binary, narrow binary, shingles binary"), "ngram_sets")
+    return rows, classes, similar_sets(tiles, sets, percent) if n else None
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
     Documents link when the Jaccard similarity of their sets of distinct shingles is percent / 100 or more. Equal
-    sets are one class, told by a 64-bit sum over the set; only one set per class goes on. Sets that may link share a
-    signature, which makes a tile (in blocks by size where it is large). In a tile bitmaps bound the overlap from
-    above; of the pairs they allow, those that connect the members go on and are checked by intersecting sorted
-    arrays. What links is one component; then only pairs of tile members in different components matter, and all
-    of those that bitmaps allow are checked in the end. So no link is lost, and a large group of copies costs
-    about as much as its members, not their pairs.
+    sets are one class, told by 128 bits of sums over the set; only one set per class goes on. Sets that may link share
+    a signature, which makes a tile. Bitmaps, whose width follows the set's size, bound the overlap of two members from
+    above; pairs they allow are checked by intersecting sorted arrays. See similar_sets() for the order of the
+    checks: no link between components is lost, and a large group of copies costs about as much as its members,
+    not their pairs.
 
     Null and empty texts have no shingles and link with nothing. Rows that repeat an id stand for their texts each;
     a null id is named by the smallest other id of its component, or stays null. Empty tables give empty results;
-    other columns are not read.
+    other columns are not read. docs is read several times: let it be a table or another plan that gives the same
+    rows in the same order whenever it is read.
     """
     prepare(docs.sparkSession)
     narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows, sets, found = linked_sets(narrow, words, percent)
-    rows = rows.drop("row")
+    rows, sets, comp = linked_sets(narrow, words, percent)
     total = rows.count()
     classes = sets.select(F.hex("set_id").alias("g"), "rep", "copies")
-    if found is not None:
-        comp = written(components(found), "ngram_components")
-        of = sets.join(comp, F.col("set_id") == F.col("node"), "left").select("set_id", "rep", "copies", F.coalesce("root", "set_id").alias("root"))
-        low = of.where("rep is not null").groupBy("root").agg(F.min("rep").alias("low"))
-        classes = of.join(low, "root", "left").select(F.hex("set_id").alias("g"), F.col("low").alias("rep"), "copies")
-    keyed = rows.drop("bits").withColumn("g", F.when(F.col("n") > 0, F.hex("set_id")).otherwise(F.concat(F.lit("empty "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    if comp is not None:
+        of = written(sets.join(comp, F.col("set_id") == F.col("node"), "left").select("set_id", "rep", "copies", F.coalesce("root", "set_id").alias("root")), "ngram_named")
+        low = written(of.groupBy("root").agg(F.min("rep").alias("low"), F.count("*").alias("size")), "ngram_low")
+        classes = _hot_join(of, low, "root", "size", "set_id", total).select(F.hex("set_id").alias("g"), F.col("low").alias("rep"), "copies")
+    classes = written(classes, "ngram_named")
+    keyed = rows.drop("row").withColumn("g", F.when(F.col("n") > 0, F.hex("set_id")).otherwise(F.concat(F.lit("empty "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     out = attach_groups(keyed, classes, "g", "copies", total, F.concat(F.lit("row "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest id (null ids come last), of rows with one id that of the
-    lowest row key. Rows that link with nothing all stay, whatever their ids.
+    lowest row key. Rows that link with nothing all stay, whatever their ids, and so do rows without words.
 
     docs is written with a key of each row, so that a verdict holds for a row and not for all that share its id. Texts
-    are not shuffled while the rows that go are within the bound of a broadcast.
+    are not shuffled while the rows that go are within the bound of a broadcast. Columns of any name pass through; an
+    empty table gives an empty one.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -496,12 +737,11 @@ def first_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, i
         key = "_" + key
     keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "ngram_keyed")
     narrow = keyed.select(F.col(key).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows, sets, found = linked_sets(narrow, words, percent)
+    rows, sets, comp = linked_sets(narrow, words, percent)
     rows = rows.where("n > 0")
     order = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("low")
     kept = rows.groupBy("set_id").agg(order)
-    if found is not None:
-        comp = written(components(found), "ngram_components")
+    if comp is not None:
         kept = kept.join(comp, F.col("set_id") == F.col("node"), "left").groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("low").alias("low"))
     gone = written(rows.select("row").join(kept.select(F.col("low.row").alias("row")), "row", "left_anti").select(F.col("row").alias("_gone")), "ngram_gone")
     gone = bounded_broadcast(gone, gone.count(), MAX_BROADCAST_IDS)

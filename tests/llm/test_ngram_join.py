@@ -72,20 +72,67 @@ def test_large_group_of_near_copies(spark, monkeypatch, block):
     assert got == plain_components(rows)
 
 
-def test_unbanded_way_gives_the_same(spark, monkeypatch):
-    """Should a set lack the bands' guarantee, all sets go by their elements."""
-    real = nj.tile_table
-    calls = []
-
-    def flagged(docs, total, words, percent):
-        calls.append(1)
-        monkeypatch.setattr(nj, "_level", lambda n: 0)
-        return real(docs, total, words, percent)
-
-    monkeypatch.setattr(nj, "tile_table", flagged)
+def test_parts_that_are_mostly_empty(spark, monkeypatch):
+    """Sets with fewer parts than they may differ in meet by what they both lack."""
+    monkeypatch.setattr(nj, "parts_of", lambda level, percent: 400)
     rows = hot_rows(60)
     got = Counter(tuple(r) for r in nj.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert calls and got == plain_components(rows)
+    assert got == plain_components(rows)
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        a = np.unique(r.integers(0, 2**64, 60, dtype=np.uint64))
+        b = np.concatenate([a[4:], r.integers(0, 2**64, 4, dtype=np.uint64)])
+        assert len(np.intersect1d(nj.signatures(a, 80), nj.signatures(np.unique(b), 80)))
+
+
+@pytest.mark.parametrize(("hot", "held", "bucket"), [(4, 4096, 1 << 20), (1 << 30, 8, 16), (4, 8, 16)])
+def test_hot_signatures_are_split(spark, monkeypatch, hot, held, bucket):
+    """Pieces of a tile from the tasks, and members that a bucket's task doesn't hold."""
+    for name, value in (("HOT_IN_TASK", hot), ("HELD", held), ("BUCKET", bucket)):
+        monkeypatch.setattr(nj, name, value)
+    rows = hot_rows(150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in nj.ngram_jaccard_join(docs).collect()) == plain_components(rows)
+
+
+def test_names_that_unlike_sets_share(spark, monkeypatch):
+    real = nj.set_id
+    monkeypatch.setattr(nj, "set_id", lambda u: real(u) % 5 if len(u) else 0)
+    monkeypatch.setattr(nj, "prepare", lambda spark: None)
+    rows = hot_rows(30)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tables = nj.linked_sets(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), 4, 85)
+    sets = {frozenset(plain_set(t)) for _, t in rows}
+    assert tables[1].count() == len(sets)
+
+
+def test_long_unlike_sets_are_told_apart_by_bits():
+    """Sets of 5000 shingles: partners pass, unlike ones and near misses don't, so that no shingles are sent for them."""
+    r = np.random.default_rng(9)
+    base = np.unique(r.integers(0, 2**64, 5000, dtype=np.uint64))
+    rows = []
+    for changed in (100, 500, 800, 1000, 5000):  # the last but one has Jaccard 0.67
+        other = np.unique(np.concatenate([base[changed:], r.integers(0, 2**64, changed, dtype=np.uint64)]))
+        x, y = (np.frombuffer(nj.bitmap(u, nj.width(len(u))), np.uint64) for u in (base, other))
+        rows.append((nj.links(base, other, 80), bool(nj.may_link(len(base), len(other), x, y, 80))))
+    assert rows == [(True, True), (True, True), (False, False), (False, False), (False, False)]
+
+
+def test_many_near_copies_cost_their_number(spark):
+    """5,000 near copies of one text: checks in proportion to the members, not to their pairs."""
+    r = random.Random(3)
+    base = prose(r, 200).split()
+    rows = [(i, " ".join([*base[:k], f"x{i}", *base[k + 1 :]])) for i in range(5_000) for k in [r.randrange(len(base))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    pairs = []
+    real = nj.Linker.exact
+    nj.Linker.exact = lambda self, p: (lambda w: (pairs.append(w.count()), real(self, w))[1])(nj.written(p, "counted"))
+    try:
+        out = nj.ngram_jaccard_join(docs)
+        assert out.where("component_id <> 0").count() == 0 and out.count() == 5_000
+    finally:
+        nj.Linker.exact = real
+    assert sum(pairs) <= 4 * len(rows)
 
 
 @pytest.mark.parametrize("percent", [80, 85, 90])
@@ -99,23 +146,34 @@ def test_similar_sets_share_a_signature(size, percent):
         b = np.unique(np.concatenate([r.choice(a, len(a) - drop, replace=False), r.integers(0, 2**64, add, dtype=np.uint64)]))
         if not nj.links(a, b, percent):
             continue
-        (s, ok), (t, ok2) = nj.signatures(a, percent), nj.signatures(b, percent)
-        assert ok and ok2 and len(np.intersect1d(s, t))
+        if not np.array_equal(a, b):
+            assert len(np.intersect1d(nj.signatures(a, percent), nj.signatures(b, percent)))
         x, y = (np.frombuffer(nj.bitmap(u), np.uint64)[None] for u in (a, b))
         assert nj.may_link(np.array([len(a)]), np.array([len(b)]), x, y, percent)[0]
 
 
-def test_components_of_chains_and_rings(spark):
+@pytest.mark.parametrize("at_once", [1_000_000, 9])
+def test_components_of_chains_and_rings(spark, monkeypatch, at_once):
+    monkeypatch.setattr(nj, "EDGES", at_once)
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 140), (140, 120), (120, 100)] + [(500 + i, 500) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.root for r in nj.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {100: 100, 140: 100, 120: 100} | {500 + i: 500 for i in range(30)}
 
 
 def test_stage_keeps_one_of_each(docs, rows):
+    """By rows: of each component the first by (id, null last), and every row that links with nothing."""
     out = nj.first_of_each(docs)
     assert out.schema == docs.schema
-    comp = {r.doc_id: r.component_id for r in nj.ngram_jaccard_join(docs).collect()}
-    assert {r.doc_id for r in out.collect()} == {d for d, c in comp.items() if d == c}
+    texts = [t for _, t, _ in rows]
+    numbered = [(i, t) for i, t in enumerate(texts)]
+    root = {d: c for (d, _, c) in plain_components(numbered)}
+    best = {}
+    for i, (d, _, _) in enumerate(rows):
+        best.setdefault(root[i], []).append((d is None, d or 0, i))
+    want = Counter((rows[i][0], texts[i]) for _, _, i in (min(v) for v in best.values()))
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert Counter(d for d, _ in got.elements()) == Counter(d for d, _ in want.elements())
+    assert Counter(t for d, t in got.elements() if d is not None) == Counter(t for d, t in want.elements() if d is not None)
 
 
 def test_stage_counts_rows_of_null_and_repeated_ids(spark):
@@ -133,7 +191,8 @@ def test_stage_counts_rows_of_null_and_repeated_ids(spark):
     assert got == Counter([(1, text("a")), (None, text("b")), (None, ""), (None, None), (2, text("c")), (5, text("d")), (6, text("e")), (None, text("f")), 8])
 
 
-def test_components_that_still_change_are_an_error(spark):
+def test_components_that_still_change_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(nj, "EDGES", 4)
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 60)], "a long, b long")
     with pytest.raises(RuntimeError, match="still change"):
         nj.components(chain, rounds=2)
