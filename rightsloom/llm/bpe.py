@@ -16,43 +16,57 @@ from pyspark.sql import functions as F
 from .common import prepare, small, tokenizer_path
 from .token_counts import counter
 
-#: A white-space byte ends a chunk unless three bits of the rolling hash over the last four bytes are 0: seven in eight do.
-#: Longer chunks share less between documents: with little more than a word on average most lookups find their chunk.
-CUT_BITS = 7
-#: Runs without a cut of over so many bytes are cut at hash positions too, and their joins repaired.
-LONG = 4096
-LONG_BITS = 0x3FF
-#: Chunks that a worker remembers, in each of two generations (about 200 bytes each).
-MEMO = 200_000
+#: A chunk ends where these bits of the rolling hash over the last 32 bytes are 0 (once in 512 bytes), wherever in a word
+#: that is, but has this many bytes at least.
+CUT_BITS, LEAST = 0x1FF, 64
+#: Characters of chunks that a worker remembers, in each of two generations (with their ids about twice as many bytes).
+MEMO = 4_000_000
 #: Pre-tokens that a worker remembers.
-MEMO_PRE_TOKENS = 400_000
+MEMO_PRE_TOKENS = 200_000
+#: Characters of the right chunk that a join reads at first; of a chunk, those among which its first pre-tokens are noted.
+WINDOW, HEAD = 48, 40
+#: Text before a join up to which it is encoded anew with each window; longer text waits for white space, or the end.
+WAITING = 4096
 
 #: Stands for the end of a chunk among ids.
 END_ID = 0xFFFFFFFF
 END = END_ID.to_bytes(4, "little")
 
 _GEAR = np.random.default_rng(20240901).integers(0, 2**32, 256, dtype=np.uint32)
-_WHITE = np.zeros(256, bool)
-_WHITE[[0x20, 0x0A, 0x09, 0x0D]] = True
+_WHITE = " \n\t\r"
 
 
 def rolling_hash(data: np.ndarray) -> np.ndarray:
-    """At each byte a gear hash of the last four bytes: sum of table[byte] << distance."""
+    """At each byte a gear hash of the last 32 bytes: sum of table[byte] << distance."""
     h = _GEAR[data]
-    for step in (1, 2):
+    for step in (1, 2, 4, 8, 16):
         moved = h[:-step] << np.uint32(step)
         h = h.copy()
         h[step:] += moved
     return h
 
 
+class Chunk:
+    """A chunk encoded by itself: ids, where its first pre-tokens start (character: byte among the ids), and where the
+    text after its last white space starts, in both."""
+
+    __slots__ = ("text", "ids", "heads", "tail", "tail_at")
+
+    def __init__(self, text: str, ids: bytes, heads: dict[int, int], tail_at: int):
+        self.text, self.ids, self.heads, self.tail, self.tail_at = text, ids, heads, after_white(text), tail_at
+
+
+def after_white(text: str) -> int:
+    """Where the text after the last white space starts; 0 without any."""
+    return max(map(text.rfind, _WHITE)) + 1
+
+
 class ChunkEncoder:
     """Encodes texts as the library does with add_special_tokens=False, decodes as its decode() without decoder.
 
-    Texts are cut after white space where a rolling hash says so; the same words give the same chunks in whatever
-    document they stand, and a chunk is encoded once per worker while it is remembered. At white space a join is
-    exact as it is: white space belongs to no pre-token, ends every match of the pre-tokenizer, composes with
-    nothing and stands in no special token. Other joins are repaired, see join().
+    Texts are cut where a rolling hash says so, also within words; the same passage gives the same chunks in whatever
+    document it stands, and a chunk is encoded once per worker while it is remembered. Then joins are repaired, see
+    joined().
     """
 
     def __init__(self, path: str):
@@ -64,13 +78,16 @@ class ChunkEncoder:
         self.library.no_padding()
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.library.id_to_token(i) for i in range(size)]
-        self.specials = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.young: dict[str, Chunk] = {}
+        self.old: dict[str, Chunk] = {}
+        self.held = 0
         self.rules = counter(path)
-        self.split = re.compile(self.rules.split.__self__.pattern + "|\0").findall
+        pattern = self.rules.split.__self__.pattern
+        self.split = re.compile(pattern + "|\0").findall
+        self.matches = re.compile(pattern).finditer
         self.pre_tokens: dict[str, bytes] = {"\0": END}
-        self.looked_up = self.encoded = 0
+        self.looked_up = self.encoded = self.joins = self.repaired = 0
 
     @staticmethod
     def _value(ids) -> bytes:
@@ -80,72 +97,114 @@ class ChunkEncoder:
         """As the library's decode(ids, skip_special_tokens=False) with a file without decoder: tokens joined by spaces."""
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-    def cuts(self, data: np.ndarray) -> np.ndarray:
-        """Places of white-space bytes that end a chunk."""
-        if not len(data):
-            return np.zeros(0, np.int64)
-        return np.flatnonzero(_WHITE[data] & ((rolling_hash(data) >> np.uint32(28)) & np.uint32(CUT_BITS) != 0))
+    # ---- chunks
+
+    def chunks(self, text: str) -> list[str]:
+        """The text cut at characters where the hash of the bytes before is 0, not within what normalises together."""
+        raw = text.encode("utf-8", "surrogatepass")
+        data = np.frombuffer(raw, np.uint8)
+        cuts = np.flatnonzero(rolling_hash(data) & np.uint32(CUT_BITS) == 0) + 1
+        if not len(cuts):
+            return [text] if text else []
+        if len(raw) != len(text):
+            first = (data & 0xC0) != 0x80
+            cuts = cuts[np.append(first, True)[cuts]]
+            at = np.append(np.cumsum(first) - 1, len(text))[cuts]
+        else:
+            at = cuts
+        plain = not self.rules.unsafe.search(text)
+        out, start, begin = [], 0, 0
+        for byte, cut in zip(cuts.tolist(), at.tolist(), strict=True):
+            if byte - begin >= LEAST and cut < len(text) and (plain or self._stable(text, cut)):
+                out.append(text[start:cut])
+                start, begin = cut, byte
+        out.append(text[start:])
+        return out
+
+    @staticmethod
+    def _stable(text: str, cut: int) -> bool:
+        """Normalising both sides alone is normalising them together."""
+        a, b = text[max(0, cut - 32) : cut], text[cut : cut + 32]
+        nfc = unicodedata.normalize
+        return nfc("NFC", a + b) == nfc("NFC", a) + nfc("NFC", b)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian 32-bit integers."""
-        parts, missing = [], {}
-        young, old = self.young.get, self.old
-        for t in texts:
-            raw = t.encode("utf-8", "surrogatepass")
-            ends = self.cuts(np.frombuffer(raw, np.uint8))
-            ends = np.append(ends, len(raw)).tolist()
-            chunks = [raw[a:b] for a, b in zip([0, *[e + 1 for e in ends]], ends) if a < b]  # noqa: B905
-            values = [young(c) for c in chunks]
-            if None in values:
-                for k, c in enumerate(chunks):
-                    if values[k] is None:
-                        if (known := old.get(c)) is not None:
-                            self.young[c] = values[k] = known
-                        else:
-                            missing[c] = None
-            parts.append((chunks, values))
-            self.looked_up += len(chunks)
+        whole: dict[int, bytes] = {}
+        parts, found, missing = [], {}, {}
+        for k, t in enumerate(texts):
+            if "<|" in t and any(s in t for s in self.specials):  # special strings are never cut
+                whole[k] = self._value(self.library.encode(t, add_special_tokens=False).ids)
+                parts.append([])
+                continue
+            own = self.chunks(t)
+            parts.append(own)
+            self.looked_up += len(own)
+            for c in own:
+                if c not in found:
+                    chunk = self.young.get(c)
+                    if chunk is None and (chunk := self.old.get(c)) is not None:
+                        self._remember(chunk)
+                    if chunk is None:
+                        missing[c] = None
+                    found[c] = chunk
         self.encoded += len(missing)
-        if missing:
-            fresh = self._encode_chunks(list(missing))
-            self.young.update((c, v) for c, v in fresh.items() if len(c) <= LONG)
-            for chunks, values in parts:
-                for k, v in enumerate(values):
-                    if v is None:
-                        values[k] = fresh[chunks[k]]
-        if len(self.young) > MEMO:
-            self.old, self.young = self.young, {}
-        return [b"".join(values) for _, values in parts]
-
-    def _encode_chunks(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        for chunk in self._encoded(list(missing)):
+            found[chunk.text] = chunk
+            self._remember(chunk)
+        return [whole[k] if k in whole else self.joined([found[c] for c in own]) for k, own in enumerate(parts)]
+
+    def _remember(self, chunk: Chunk) -> None:
+        if self.held > MEMO:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[chunk.text] = chunk
+        self.held += len(chunk.text)
+
+    def _encoded(self, texts: list[str]) -> Iterator[Chunk]:
         """New chunks: pre-tokens of plain texts are merged once per worker as well, other chunks go to the library."""
-        out: dict[bytes, bytes] = {}
+        unsafe = self.rules.unsafe.search
         plain = []
-        for c in chunks:
-            if len(c) > LONG:
-                out[c] = self._value(self.encode_long(c))
-            elif b"<|" in c and any(s in c for s in self.specials):
-                out[c] = self._value(self.library.encode(c.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
+        for t in texts:
+            if unsafe(t):
+                ids, starts = self._spans(t)
+                tail = after_white(t)
+                heads = {p: at for p, at in starts if p <= HEAD}  # a character may start two pre-tokens: the last counts
+                yield Chunk(t, ids, heads, next((at for p, at in starts if p >= tail), len(ids)))
             else:
-                plain.append(c)
-        for i in range(0, len(plain), 1024):
-            some = plain[i : i + 1024]
-            text = b"\0".join(some).decode("utf-8", "surrogatepass")
-            if text.count("\0") == len(some) - 1 and not self.rules.unsafe.search(text.replace("\0", "")):
-                out.update(zip(some, self._by_pre_tokens(text), strict=True))
-                continue
-            texts = [c.decode("utf-8", "surrogatepass") for c in some]
-            odd = [self.rules.unsafe.search(t) is not None for t in texts]
-            out.update(zip([c for c, o in zip(some, odd, strict=True) if o], self._batch([t for t, o in zip(texts, odd, strict=True) if o]), strict=True))
-            fine = [c for c, o in zip(some, odd, strict=True) if not o]
-            if fine:
-                out.update(zip(fine, self._by_pre_tokens(b"\0".join(fine).decode()), strict=True))
-        return out
+                plain.append(t)
+        for i in range(0, len(plain), 512):
+            some = plain[i : i + 512]
+            low = [t.lower() for t in some]
+            pieces = self.split("\0".join(low))
+            values = self._values(pieces)
+            start = 0
+            for t, lowered in zip(some, low, strict=True):
+                try:
+                    end = pieces.index("\0", start)
+                except ValueError:
+                    end = len(pieces)
+                own = values[start:end]
+                ids = b"".join(own)
+                rest = self.split(lowered[after_white(t) :])
+                tail_at = len(ids) - sum(map(len, own[len(own) - len(rest) :]))
+                yield Chunk(t, ids, self._heads(lowered, own), tail_at)
+                start = end + 1
 
-    def _by_pre_tokens(self, text: str) -> list[bytes]:
-        """Ids of plain chunks, with a zero character between them."""
+    def _heads(self, lowered: str, values: list[bytes]) -> dict[int, int]:
+        """Of the pre-tokens that start in the first characters: where, and how many bytes of ids come before. The text
+        read ends WINDOW characters on: a start is right if the match before ended three characters before that."""
+        heads, at, ended = {}, 0, 0
+        for m, v in zip(self.matches(lowered, 0, WINDOW), values):  # noqa: B905
+            if m.start() > HEAD or (ended > WINDOW - 3 and len(lowered) > WINDOW):
+                break
+            heads[m.start()] = at
+            at += len(v)
+            ended = m.end()
+        return heads
+
+    def _values(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pre-tokens of plain texts."""
         known = self.pre_tokens
-        pieces = self.split(text.lower())
         values = list(map(known.get, pieces))
         if None in values:
             fresh = list(dict.fromkeys([p for p, v in zip(pieces, values, strict=True) if v is None]))
@@ -155,14 +214,12 @@ class ChunkEncoder:
                 known.clear()
                 known["\0"] = END
             known.update((p, v) for p, v in found.items() if len(p) <= 64)
-        raw = b"".join(values)
-        ends = np.flatnonzero(np.frombuffer(raw, "<u4") == END_ID).tolist()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(raw) // 4], strict=True)]
+        return values
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         """Texts go to the library many at a time, with a special token between that none of them contains."""
         out = []
-        mark = self.specials[0].decode()
+        mark = self.specials[0]
         mark_id = self.library.token_to_id(mark)
         groups = [texts[i : i + 256] for i in range(0, len(texts), 256)]
         found = self.library.encode_batch_fast([mark.join(g) for g in groups], add_special_tokens=False)
@@ -175,76 +232,71 @@ class ChunkEncoder:
                 start = end + 1
         return out
 
-    # ---- long runs
-
-    def _spans(self, text: str) -> tuple[list[int], dict[int, int]]:
-        """Ids, and at which id each pre-token's first character starts."""
+    def _spans(self, text: str) -> tuple[bytes, list[tuple[int, int]]]:
+        """Ids, and at which character and byte of the ids each pre-token starts."""
+        if not self.rules.unsafe.search(text):
+            low = text.lower()
+            values = self._values(self.split(low))
+            starts, at = [], 0
+            for m, v in zip(self.matches(low), values, strict=True):
+                starts.append((m.start(), at))
+                at += len(v)
+            return b"".join(values), starts
         e = self.library.encode(text, add_special_tokens=False)
-        starts, before = {}, None
+        starts, before = [], None
         for i, (word, span) in enumerate(zip(e.word_ids, e.offsets, strict=True)):
             if word != before:
-                starts[span[0]] = i
+                starts.append((span[0], 4 * i))
             before = word
-        return e.ids, starts
-
-    def encode_long(self, raw: bytes) -> list[int]:
-        text = raw.decode("utf-8", "surrogatepass")
-        if any(s in raw for s in self.specials):
-            return self.library.encode(text, add_special_tokens=False).ids  # special strings are never cut
-        data = np.frombuffer(raw, np.uint8)
-        first = (data & 0xC0) != 0x80
-        places = np.flatnonzero((rolling_hash(data)[:-1] & np.uint32(LONG_BITS) == 0) & first[1:]) + 1
-        at = np.cumsum(first)[places - 1]  # in characters
-        pieces, start = [], 0
-        for cut in at.tolist():
-            if cut - start >= 64 and self._stable(text, cut):
-                pieces.append(text[start:cut])
-                start = cut
-        pieces.append(text[start:])
-        whole = pieces[0]
-        ids, starts = self._spans(whole)
-        for piece in pieces[1:]:
-            ids, starts = self.join(whole, ids, starts, piece)
-            whole += piece
-        return ids
+        return self._value(e.ids), starts
 
-    @staticmethod
-    def _stable(text: str, cut: int) -> bool:
-        """Normalising both sides alone is normalising them together."""
-        a, b = text[max(0, cut - 32) : cut], text[cut : cut + 32]
-        nfc = unicodedata.normalize
-        return nfc("NFC", a + b) == nfc("NFC", a) + nfc("NFC", b)
+    # ---- joins
 
-    def join(self, left: str, ids: list[int], starts: dict[int, int], right: str) -> tuple[list[int], dict[int, int]]:
-        """Ids and pre-token starts of left + right.
+    def joined(self, chunks: list[Chunk]) -> bytes:
+        """Ids of the chunks' joined text.
 
-        The pre-tokenizer reads from the left and looks at most two characters beyond a match, so pre-tokens that
-        end three characters before the join are right. From the last such start a window over the join is encoded
-        anew and widened until it and the right side, both well inside the window, start a pre-token at the same
-        character: from there on the two agree for good.
+        White space belongs to no pre-token, ends every match of the pre-tokenizer, composes with nothing and stands
+        in no special string: a chunk's ids are right up to its last white space, whatever follows, and a join at white
+        space is right as it is. At other joins the text from there on is encoded anew with the beginning of the next
+        chunk. Where that window and the next chunk's own ids start a pre-token at the same character, well inside
+        the window (the pre-tokenizer reads two characters beyond a match at most), they agree for good. Without
+        such a place the window grows: to the next chunk's last white space, or on through chunks that have none.
         """
-        right_ids, right_starts = self._spans(right)
-        safe = max((p for p in starts if p <= len(left) - 3), default=0)
-        keep = starts.get(safe, 0)
-        width = 32
-        while True:
-            w_ids, w_starts = self._spans(left[safe:] + right[:width])
-            shift = len(left) - safe
-            both = [p for p in w_starts if 0 < p - shift <= width - 3 and p - shift in right_starts]
-            done = width >= len(right)
-            if both or done:
-                break
-            width *= 4
-        merged = {p: i for p, i in starts.items() if p < safe}
-        if both and not done:
-            p = min(both)
-            middle = w_ids[: w_starts[p]]
-            merged |= {q + safe: i + keep for q, i in w_starts.items() if q < p}
-            rest = right_starts[p - shift]
-            merged |= {q + len(left): i - rest + keep + len(middle) for q, i in right_starts.items() if q >= p - shift}
-            return ids[:keep] + middle + right_ids[rest:], merged
-        merged |= {q + safe: i + keep for q, i in w_starts.items()}
-        return ids[:keep] + w_ids, merged
+        if not chunks:
+            return b""
+        out: list[bytes] = []
+        cur, from_, place = chunks[0], 0, 0  # cur is right from that byte and character on
+        left: str | None = None  # text that waits for an agreement, in place of cur
+        for right in chunks[1:]:
+            self.joins += 1
+            white = right.text[0] in _WHITE
+            if left is None:
+                if white or cur.tail == len(cur.text):
+                    out.append(cur.ids[from_:])
+                    cur, from_, place = right, 0, 0
+                    continue
+                keep, left = (cur.tail_at, cur.text[cur.tail :]) if cur.tail > place else (from_, cur.text[place:])
+                out.append(cur.ids[from_:keep])
+            elif white:
+                out.append(self._spans(left)[0])
+                cur, from_, place, left = right, 0, 0, None
+                continue
+            self.repaired += 1
+            if len(left) <= WAITING:
+                ids, starts = self._spans(left + right.text[:WINDOW])
+                shift, most = len(left), WINDOW - 3 if len(right.text) > WINDOW else WINDOW
+                at = next(((p - shift, k) for p, k in dict(starts).items() if 0 <= p - shift <= most and p - shift in right.heads), None)
+                if at is not None:
+                    out.append(ids[: at[1]])
+                    cur, from_, place, left = right, right.heads[at[0]], at[0], None
+                    continue
+            if right.tail:
+                out.append(self._spans(left + right.text[: right.tail])[0])
+                cur, from_, place, left = right, right.tail_at, right.tail, None
+            else:
+                left += right.text
+        out.append(cur.ids[from_:] if left is None else self._spans(left)[0])
+        return b"".join(out)
 
 
 _encoders: dict[str, ChunkEncoder] = {}

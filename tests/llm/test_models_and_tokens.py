@@ -38,8 +38,23 @@ def test_bpe_and_counts_equal_the_library(docs, rows, empty, library):
 def test_joins_inside_long_runs(library, alphabet):
     r = random.Random(len(alphabet))
     c = bpe.ChunkEncoder(PATH)
-    text = "".join(r.choice(alphabet) for _ in range(9000))
-    assert np.frombuffer(c.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    for size in (60, 700, 700, 700, 3000, 9000):
+        text = "".join(r.choice(alphabet) for _ in range(size))
+        assert np.frombuffer(c.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert c.joins > 10
+
+
+def test_joins_of_documents_are_repaired(spark, library):
+    """On the documents of the small table: chunks of hundreds of bytes, many cut within words, some shared by documents."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    c = bpe.ChunkEncoder(PATH)
+    got = c.encode(texts)
+    want = library.encode_batch_fast(texts, add_special_tokens=False)
+    assert all(np.frombuffer(g, "<u4").tolist() == w.ids for g, w in zip(got, want, strict=True))
+    size = sum(len(t.encode()) for t in texts) / c.looked_up
+    assert 300 < size < 800 and c.repaired > 1000 and c.joins > 2 * c.repaired - c.joins // 2 and c.encoded < c.looked_up
+    owners = Counter(x for t in texts for x in set(c.chunks(t)))
+    assert sum(n > 1 for n in owners.values()) > 50
 
 
 def test_chunks_are_reused():
