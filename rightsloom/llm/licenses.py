@@ -73,87 +73,76 @@ def _need(words: list[str], threshold: float) -> int:
     return max(1, math.ceil(threshold * len(words) - 1e-9))
 
 
+def run_length(text: str) -> int:
+    """Words of a run that is judged against a template: a quarter more than it has."""
+    return math.ceil(1.25 * len([w for w in re.split(NOT_WORD, text) if w]))
+
+
 def block_table(docs: DataFrame, templates, threshold: float, vocabulary: list[str], id_col: str, text_col: str) -> DataFrame:
-    """One row per document: row, doc_id, n_words, the base figures, and for every block (line) with words of any
-    template those words once each. Other words can't be shared with a template, so none is needed after this pass.
-    places: where all lines together have enough words of some template, each word's number in the vocabulary (0 for
-    others) in the order of the text; else null."""
-    lowered = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    lines = F.transform(F.split(lowered, "\n"), lambda line: F.trim(F.regexp_replace(line, NOT_WORD, " ")))
+    """One row per document: row, doc_id, n_words, the base figures, words (those of any template, once each), and blocks.
+
+    Blocks are there where the whole text has enough words of some template: pieces of twice the longest run, each
+    from the middle of the one before, so that every run lies in one. A block has its words' numbers in the
+    vocabulary, 0 for words that no template has. Line ends are word ends like others.
+    """
+    s = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), NOT_WORD, " ")), F.lit(" "))
     known = _literals(vocabulary)
-    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), lines.alias("lines"))
-    joined = F.array_join(F.filter("lines", lambda x: x != ""), " ")
-    t = t.select("doc_id", "lines", F.concat(F.lit(" "), joined, F.lit(" ")).alias("s"))
-    blocks = F.filter(F.transform("lines", lambda x: F.array_intersect(known, F.split(x, " "))), lambda x: F.size(x) > 0)
+    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), s.alias("s"))
     n_words = F.when(F.col("s") == "  ", F.lit(0)).otherwise(_spaces(F.col("s")) - 1).cast("long")
-    t = t.select(F.monotonically_increasing_id().alias("row"), "doc_id", n_words.alias("n_words"), *[c.alias(k) for k, c in base_scan(F.col("s")).items()], blocks.alias("blocks"), "s")
-    t = t.withColumn("all", F.array_distinct(F.flatten("blocks")))
+    words = F.array_intersect(known, F.split(F.trim("s"), " "))
+    t = t.select(F.monotonically_increasing_id().alias("row"), "doc_id", n_words.alias("n_words"), *[c.alias(k) for k, c in base_scan(F.col("s")).items()], words.alias("words"), "s")
     enough = F.lit(False)
     for _, text in templates:
-        words = template_words(text)
-        enough = enough | (F.size(F.array_intersect(F.col("all"), _literals(words))) >= _need(words, threshold))
-    places = F.transform(F.split(F.trim("s"), " "), lambda w: F.array_position(known, w).cast("int"))
-    return t.withColumn("places", F.when((F.size("blocks") > 1) & enough, places)).drop("s", "all")
+        own = template_words(text)
+        enough = enough | (F.size(F.array_intersect(F.col("words"), _literals(own))) >= _need(own, threshold))
+    places = F.when(enough, F.transform(F.split(F.trim("s"), " "), lambda w: F.array_position(known, w).cast("int")))
+    t = t.withColumn("places", places).drop("s")
+    step = max((run_length(text) for _, text in templates), default=1)
+    starts = F.sequence(F.lit(1), F.size("places"), F.lit(step))
+    return t.withColumn("blocks", F.when(F.col("places").isNotNull(), F.transform(starts, lambda i: F.slice("places", i, 2 * step)))).drop("places")
 
 
-def block_matches(table: DataFrame, templates=TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
-    """row, block, template, label, containment: every block with at least threshold of a template's words, exactly.
+def block_matches(table: DataFrame, vocabulary: list[str], templates=TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
+    """row, template, label, containment: every template of which some run of words has at least threshold, exactly.
 
-    Words are ordered from rare to frequent over all blocks. A block that shares o of a template's t words has one
+    Words are ordered from rare to frequent over all documents. A block that shares o of a template's t words has one
     of the template's t - o + 1 rarest, its prefix; blocks meet templates by equi-join on prefix words. The length
     filter (the block has o template words at all) and the positional filter (the words up to and after the shared
-    one, on either side, must reach o) come before the exact intersection.
+    one, on either side, must reach o) come before the exact intersection, and that before the runs of the block are
+    intersected one by one. A run starts at a word of the template: one that starts elsewhere has no more of them.
     """
     spark = table.sparkSession
-    blocks = table.select("row", F.posexplode("blocks").alias("block", "words"))
-    counted = blocks.select(F.explode("words").alias("w")).groupBy("w").count()
+    counted = table.select(F.explode("words").alias("w")).groupBy("w").count()
     frequency = {r["w"]: r["count"] for r in counted.collect()}  # words of templates only
+    at = {w: i for i, w in enumerate(vocabulary, 1)}
     order = lambda w: (frequency.get(w, 0), w)
-    sets = [(label, sorted(template_words(text), key=order)) for label, text in templates]
-    rows = []
-    for t, (label, words) in enumerate(sets):
+    rows, least = [], None
+    for t, (label, text) in enumerate(templates):
+        words = sorted(template_words(text), key=order)
         need = _need(words, threshold)
-        rows += [(t, label, words, need, word, pos) for pos, word in enumerate(words[: len(words) - need + 1])]
-    prefixes = spark.createDataFrame(rows, "template int, label string, t_words array<string>, need int, word string, pos int")
-    ranked = _literals(sorted({w for _, s in sets for w in s}, key=order))
-    prefix_words = _literals(sorted({r[4] for r in rows}, key=order))
-    least = min((r[3] for r in rows), default=1)
-    found = blocks.where((F.size("words") >= least) & F.arrays_overlap("words", prefix_words))
-    found = found.withColumn("b_words", F.array_intersect(ranked, F.col("words"))).drop("words")
-    exploded = found.select("row", "block", "b_words", F.posexplode("b_words").alias("b_pos", "word"))
+        least = need if least is None else min(least, need)
+        rows += [(t, label, [at[w] for w in words], need, run_length(text), at[word], pos) for pos, word in enumerate(words[: len(words) - need + 1])]
+    prefixes = spark.createDataFrame(rows, "template int, label string, t_words array<int>, need int, length int, word int, pos int")
+    numbers = lambda words: F.array(*[F.lit(at[w]) for w in words]) if words else F.array().cast("array<int>")
+    ranked = numbers(sorted(vocabulary, key=order))
+    prefix_words = F.array(*[F.lit(w) for w in sorted({r[5] for r in rows})]) if rows else F.array().cast("array<int>")
+    blocks = table.select("row", F.posexplode("blocks").alias("block", "places"))
+    found = blocks.where(F.arrays_overlap("places", prefix_words)).withColumn("b_words", F.array_intersect(ranked, F.col("places"))).where(F.size("b_words") >= (least or 1))
+    exploded = found.select("row", "places", "b_words", F.posexplode("b_words").alias("b_pos", "word"))
     pairs = exploded.join(F.broadcast(prefixes), "word")  # as many rows as the templates' prefixes have words
     pairs = pairs.where("size(b_words) >= need and least(b_pos, pos) + 1 + least(size(b_words) - b_pos - 1, size(t_words) - pos - 1) >= need")
-    pairs = pairs.withColumn("overlap", F.size(F.array_intersect("b_words", "t_words"))).where("overlap >= need")
-    return pairs.groupBy("row", "block", "template", "label").agg(F.max(F.col("overlap") / F.size("t_words")).alias("containment"))
-
-
-def wrapped_matches(table: DataFrame, vocabulary: list[str], templates=TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
-    """row, block, template, label, containment: templates that a run of words holds, over line ends, exactly.
-
-    A run is a quarter longer than the template, and starts at each of its words: a run that starts elsewhere has no
-    more of them. block is -1 - template.
-    """
-    at = {w: i for i, w in enumerate(vocabulary, 1)}
-    rows = []
-    for t, (label, text) in enumerate(templates):
-        words = template_words(text)
-        length = len([w for w in re.split(NOT_WORD, text) if w])
-        rows.append(F.struct(F.lit(t).alias("template"), F.lit(label).alias("label"), F.array(*[F.lit(at[w]) for w in words]).alias("t_words"), F.lit(_need(words, threshold)).alias("need"), F.lit(math.ceil(1.25 * length)).alias("length")))
-    if not rows:
-        return table.sparkSession.createDataFrame([], "row long, block int, template int, label string, containment double")
-    pairs = table.where("places is not null").select("row", "places", F.explode(F.array(*rows)).alias("t")).select("row", "places", "t.*")
-    pairs = pairs.where("size(array_intersect(t_words, places)) >= need")
+    pairs = pairs.where("size(array_intersect(b_words, t_words)) >= need")
     starts = "filter(transform(places, (x, i) -> if(array_contains(t_words, x), i + 1, 0)), i -> i > 0)"
     pairs = pairs.withColumn("overlap", F.expr(f"array_max(transform({starts}, i -> size(array_intersect(t_words, slice(places, i, length)))))")).where("overlap >= need")
-    return pairs.select("row", (-1 - F.col("template")).alias("block"), "template", "label", (F.col("overlap") / F.size("t_words")).alias("containment"))
+    return pairs.groupBy("row", "template", "label").agg(F.max(F.col("overlap") / F.size("t_words")).alias("containment"))
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks.
 
-    Base: places where a fixed phrase's words follow one another, also over line ends. The join adds labels of
-    templates that a line holds, or a run of words over line ends; score is the best containment found, 1 for a base
-    phrase, 0 for nothing. n_blocks counts such lines, and one for each template that only runs over line ends hold.
+    Base: places where a fixed phrase's words follow one another. The join adds labels of templates that a run of words
+    holds, a quarter longer than the template at most, however lines are broken; score is the best containment
+    found, 1 for a base phrase, 0 for nothing. n_blocks counts the templates that a block holds.
     Null and empty texts have no words: no labels ('' joined), score 0, null first_word and last_word. Each row
     stands for itself, so repeated rows and null ids are answered like others; empty tables give empty results;
     other columns are not read.
@@ -162,11 +151,9 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = CONTAI
     if len(vocabulary) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")
     table = written(block_table(docs, templates, threshold, vocabulary, id_col, text_col), "license_blocks")
-    found = block_matches(table, templates, threshold)
-    wrapped = wrapped_matches(table, vocabulary, templates, threshold)
-    found = found.unionByName(wrapped.join(found.select("row", "template").distinct(), ["row", "template"], "left_anti"))
-    by_row = found.groupBy(F.col("row").alias("f_row")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"), F.countDistinct("block").alias("n_blocks"))
-    out = table.drop("blocks", "places").join(by_row, F.col("row") == F.col("f_row"), "left")
+    found = block_matches(table, vocabulary, templates, threshold)
+    by_row = found.groupBy(F.col("row").alias("f_row")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"), F.count("*").alias("n_blocks"))
+    out = table.drop("blocks", "words").join(by_row, F.col("row") == F.col("f_row"), "left")
     labels = F.array_sort(F.array_union("base_set", F.coalesce("found", F.array().cast("array<string>"))))
     score = F.greatest(F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.lit(0.0)), F.coalesce("best", F.lit(0.0)))
     return out.select(
@@ -180,19 +167,18 @@ def _sql_list(words: list[str]) -> str:
 
 
 def oracle() -> str:
-    """The same by brute force: every line against every template, every word position against every phrase."""
-    templates = ", ".join(f"({i}, '{label}', {_sql_list(template_words(text))})" for i, (label, text) in enumerate(TEMPLATES))
+    """The same by brute force: every run of words against every template, every word position against every phrase."""
+    templates = ", ".join(f"({i}, '{label}', {_sql_list(template_words(text))}, {run_length(text)})" for i, (label, text) in enumerate(TEMPLATES))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-w AS (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+w AS MATERIALIZED (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
 p AS MATERIALIZED (SELECT r, i - 1 AS place, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w) x,
      (VALUES {", ".join(f"('{label}', {_sql_list(p.split(' '))})" for label, p in PHRASES)}) v(label, words) WHERE x.w[i] = words[1] AND x.w[i : i + len(words) - 1] = words),
 b AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list_distinct(list(label))) AS base_set FROM p GROUP BY r),
-l AS (SELECT r, block, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words
-      FROM (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS block FROM d) y),
-m AS (SELECT r, block, label, len(list_intersect(l.words, v.words)) / len(v.words)::DOUBLE AS containment FROM l, (VALUES {templates}) v(i, label, words)
-      WHERE len(list_intersect(l.words, v.words)) >= ceil({CONTAINMENT} * len(v.words) - 1e-9)),
-f AS (SELECT r, list_distinct(list(label)) AS found, max(containment) AS best, count(DISTINCT block) AS n_blocks FROM m GROUP BY r)
+c AS MATERIALIZED (SELECT r, w, i, label, words, n FROM w, (VALUES {templates}) v(i, label, words, n) WHERE len(list_intersect(words, w)) >= ceil({CONTAINMENT} * len(words) - 1e-9)),
+m AS (SELECT r, i, label, max(len(list_intersect(words, w[k : k + n - 1])) / len(words)::DOUBLE) AS containment FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM c) x
+      WHERE len(list_intersect(words, w[k : k + n - 1])) >= ceil({CONTAINMENT} * len(words) - 1e-9) GROUP BY r, i, label),
+f AS (SELECT r, list_distinct(list(label)) AS found, max(containment) AS best, count(*) AS n_blocks FROM m GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        coalesce(array_to_string(base_set, ','), '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base_set, []), coalesce(found, [])))), ',') AS labels,

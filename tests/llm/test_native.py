@@ -1,6 +1,7 @@
 """Exact dedup, mixing and license scans: against plain Python and SQL, on odd texts, and on an empty table."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -104,9 +105,39 @@ def test_targets_water_fill(spark, sizes):
 
 
 def test_newton_solves_the_dual(spark):
-    df = spark.createDataFrame([(100.0, t) for t in (1e-3, 1.0, 55.5, 100.0, 299.0, 300.0)], "m double, t double")
-    for r in df.select("t", (100 * F.exp(mixing.newton_dual(F.col("m"), F.col("t")))).alias("x")).collect():
-        assert r.x == pytest.approx(r.t, rel=1e-9)
+    """Rates vary with the size, meet every target, and no other rates that do are closer to the documents as they are."""
+    sizes = [(s, n, c) for s in ("low", "high", "same", "all") for n, c in ((0, 3), (1, 40), (30, 20), (400, 5), (9000, 2))]
+    own = sum(n * c for _, n, c in sizes[:5])
+    targets = {"low": own * 0.11, "high": own * 2.9, "same": own * 1.0, "all": own * 3.0}
+    df = spark.createDataFrame(sizes, "source string, size long, n long")
+    sources = spark.createDataFrame([(s, own, float(t)) for s, t in targets.items()], "source string, source_size long, target double")
+    plan = mixing.newton_dual(df, sources, 3)
+    rows = df.join(plan, "source").withColumn("rate", mixing.rate_of(F.col("size"), F.col("multiplier"), F.col("scale"), 3)).collect()
+    for s, t in targets.items():
+        mine = [r for r in rows if r.source == s]
+        assert sum(r.n * r.size * r.rate for r in mine) == pytest.approx(t, rel=1e-8)
+        assert all(0 <= r.rate <= 3 for r in mine)
+    rates = {(r.source, r["size"]): r.rate for r in rows}
+    assert rates["low", 9000] < rates["low", 400] < rates["low", 30] < rates["low", 0] == pytest.approx(1)
+    assert rates["high", 9000] > rates["high", 30] > 1 and rates["same", 400] == pytest.approx(1) and rates["all", 1] == 3
+
+    def distance(p):  # relative entropy to a third, by place
+        return sum(n * (x * math.log(x * 3) + (1 - x) * math.log((1 - x) * 1.5)) for x, n in p)
+
+    mine = {r["size"]: (r.rate / 3, r.n) for r in rows if r.source == "low" and r["size"]}
+    for a, b in ((9000, 400), (400, 30), (30, 1)):
+        for by in (1e-4, -1e-4):  # words moved from one size to another
+            other = dict(mine)
+            other[a] = (mine[a][0] + by / (a * mine[a][1]), mine[a][1])
+            other[b] = (mine[b][0] - by / (b * mine[b][1]), mine[b][1])
+            assert distance(other.values()) >= distance(mine.values()) - 1e-12
+
+
+def test_mix_of_columns_with_the_same_names(spark, docs):
+    extra = {c: F.lit(1) for c in ("_size", "_source", "_key", "_copies", "_copy", "_rate", "_whole", "a.b", "rate")}
+    named = docs.withColumns(extra)
+    out = mixing.mixed_documents(named)
+    assert out.columns == named.columns and out.count() == mixing.mixed_documents(docs).count()
 
 
 def test_mixed_documents_match_the_plan(docs):
@@ -142,3 +173,14 @@ def test_license_notices_wrapped_over_lines(spark):
     got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [",".join(x for x in got[i].labels.split(",") if x != "gpl") for i in range(5)] == list(wrapped)
     assert got[0].n_blocks == 1 and got[0].score == 1.0 and got[4].n_blocks == 0
+
+
+def test_wrapped_and_scattered_licenses(spark):
+    """Notices broken over lines and behind comment signs are found; their words scattered over a long line are not."""
+    mit = "Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and\n# associated documentation files (the Software)"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n *\n * modification, are permitted provided that the following conditions\n * are met:"
+    words = licenses.template_words(dict(licenses.TEMPLATES[3:4])["mit"])
+    scattered = " ".join(f"{w} one two three four" for w in words)
+    rows = [(1, "x = 1\n\n" + mit), (2, bsd), (3, scattered), (4, "before " * 500 + mit.replace("\n# ", " ") + " after" * 700), (5, "free of charge\n" * 40)]
+    got = {r.doc_id: (r.labels, r.n_blocks) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("mit", 1), 2: ("bsd", 1), 3: ("", 0), 4: ("mit", 1), 5: ("", 0)}
