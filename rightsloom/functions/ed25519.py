@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 # Fixed values of the curve: field prime, group order, constant d, base point.
 P = 2**255 - 19
@@ -48,6 +49,54 @@ def _times(n: int, p):
     return out
 
 
+def _windows(p) -> list[list[tuple[int, int, int, int]]]:
+    """For each four bits of a scalar the 15 multiples they may stand for: a product is 64 additions at most."""
+    out = []
+    for _ in range(64):
+        row = [p]
+        for _ in range(14):
+            row.append(_add(row[-1], p))
+        out.append(row)
+        p = _add(row[-1], p)
+    return out
+
+
+@lru_cache(1)
+def _base_windows():
+    return _windows(BASE)
+
+
+def _times_by(n: int, windows):
+    out = _ZERO
+    for row in windows:
+        if n & 15:
+            out = _add(out, row[(n & 15) - 1])
+        n >>= 4
+    return out
+
+
+#: Keys whose windows are remembered (some 300 kB each), and after how many uses they are made.
+MAX_KEYS, USES = 64, 4
+
+
+class _Key:
+    """A decoded public key, negated; its windows from the fifth use on."""
+
+    def __init__(self, public: bytes):
+        a = _decode(public)
+        self.minus = None if a is None else (P - a[0], a[1], 1, P - a[3])
+        self.uses, self.windows = 0, None
+
+    def times(self, n: int):
+        self.uses += 1
+        if self.uses > USES and self.windows is None:
+            self.windows = _windows(self.minus)
+        return _times_by(n, self.windows) if self.windows else _times(n, self.minus)
+
+
+_key = lru_cache(MAX_KEYS)(_Key)
+
+
 def _encode(p) -> bytes:
     z = pow(p[2], -1, P)
     x, y = p[0] * z % P, p[1] * z % P
@@ -71,14 +120,14 @@ def _expand(secret: bytes) -> tuple[int, bytes]:
 
 
 def public_key(secret: bytes) -> bytes:
-    return _encode(_times(_expand(secret)[0], BASE))
+    return _encode(_times_by(_expand(secret)[0], _base_windows()))
 
 
 def sign(secret: bytes, message: bytes) -> bytes:
     a, prefix = _expand(secret)
-    public = _encode(_times(a, BASE))
+    public = _encode(_times_by(a, _base_windows()))
     r = _number(prefix, message) % ORDER
-    big_r = _encode(_times(r, BASE))
+    big_r = _encode(_times_by(r, _base_windows()))
     return big_r + ((r + _number(big_r, public, message) * a) % ORDER).to_bytes(32, "little")
 
 
@@ -86,9 +135,8 @@ def verify(public: bytes, message: bytes, signature: bytes) -> bool:
     """False for wrong lengths, points off the curve and scalars beyond the order too."""
     if len(public) != 32 or len(signature) != 64:
         return False
-    a, s = _decode(public), int.from_bytes(signature[32:], "little")
-    if a is None or _decode(signature[:32]) is None or s >= ORDER:
+    key, s = _key(public), int.from_bytes(signature[32:], "little")
+    if key.minus is None or s >= ORDER or _decode(signature[:32]) is None:
         return False
     k = _number(signature[:32], public, message) % ORDER
-    minus_a = (P - a[0], a[1], 1, P - a[3])
-    return _encode(_add(_times(s, BASE), _times(k, minus_a))) == signature[:32]
+    return _encode(_add(_times_by(s, _base_windows()), key.times(k))) == signature[:32]

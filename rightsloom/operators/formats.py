@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 from xml.parsers import expat
@@ -147,13 +148,23 @@ def perceptual_code(pixels: np.ndarray) -> int:
 
 def hamming_pairs(codes: DataFrame, most: int = 7) -> DataFrame:
     """a, b, distance of rows (id, code long) that differ in at most so many of 64 bits (an addition of ours: pairs of similar
-    images). Of most + 1 parts of the bits one is equal in such a pair, so pairs meet by equi-join on parts, and each pair
-    at its first equal part only."""
-    width = 64 // (most + 1)
-    part = lambda c, k: F.shiftrightunsigned(c, k * width) if k == most else F.shiftrightunsigned(c, k * width).bitwiseAND((1 << width) - 1)
-    rows = codes.select("id", "code", F.posexplode(F.array(*[part(F.col("code"), k) for k in range(most + 1)])).alias("k", "p"))
-    a, b = rows.toDF("a", "x", "k", "p"), rows.toDF("b", "y", "k", "p")
-    same = [part(F.col("x"), k) == part(F.col("y"), k) for k in range(most + 1)]
-    earliest = F.coalesce(*[F.when(s, F.lit(k)) for k, s in enumerate(same)])
+    images).
+
+    Of most + t parts of the bits t are equal in such a pair, so pairs meet by equi-join on some t parts. More parts make
+    longer keys and more of them: t grows with the rows until t parts tell as many codes apart as there are rows, so
+    that the chance candidates of a row stay at the number of its keys (36 of 14 bits for 10,000 rows, 330 of 23 bits for
+    eight million). A pair that meets by several keys is given once. ids are unique; null codes meet nothing.
+    """
+    rows = codes.where(F.col("code").isNotNull()).select("id", "code")
+    n, t = rows.count(), 1
+    while 64 * t // (most + t) < min(max(n, 2).bit_length(), 32):
+        t += 1
+    edges = [64 * k // (most + t) for k in range(most + t + 1)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    chosen = [signed(sum(c)) for c in itertools.combinations(masks, t)]  # sums of masks of different bits
+    keyed = rows.select("id", "code", F.posexplode(F.array(*[F.col("code").bitwiseAND(F.lit(m)) for m in chosen])).alias("k", "p"))
+    a, b = keyed.toDF("a", "x", "k", "p"), keyed.toDF("b", "y", "k", "p")
     distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    return a.join(b, ["k", "p"]).where((F.col("a") < F.col("b")) & (F.col("k") == earliest)).select("a", "b", distance.alias("distance")).where(F.col("distance") <= most)
+    near = a.join(b, ["k", "p"]).where((F.col("a") < F.col("b")) & (distance <= most))
+    return near.select("a", "b", distance.alias("distance")).distinct()

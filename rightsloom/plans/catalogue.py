@@ -169,7 +169,10 @@ def xml_escape_roundtrip(spark, sf_dir):
     return d.select("doc_id", F.sha2("escaped", 256).alias("escaped_sha256"), (text.xml_unescape(F.col("escaped")) == F.col("text")).alias("round_trip"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT page_id, unnest(l) AS tag, unnest(range(len(l))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<(/?[^>]*)>', 1) AS l FROM pages)),
+s AS (SELECT page_id, i, sum(CASE WHEN starts_with(tag, '/') THEN -1 WHEN ends_with(rtrim(tag), '/') THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS s FROM t),
+d AS (SELECT page_id, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS d FROM s)
+SELECT page_id, coalesce(max(d), 0)::INT AS depth, coalesce(max(d), 0) <= 32 AS within_limit FROM pages LEFT JOIN d USING (page_id) GROUP BY page_id""")
 def xml_depth_guard(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.max_depth(F.col("html")).alias("depth")).withColumn("within_limit", F.col("depth") <= 32)
 
@@ -273,13 +276,13 @@ def summary_rollup(spark, sf_dir):
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
+    o = table(spark, sf_dir, "lineitem")
     old = o.select(F.col("l_orderkey").alias("asset"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("k"), F.col("l_partkey") % 5).alias("key"), F.col("l_shipmode" if "l_shipmode" in o.columns else "l_returnflag").alias("value"))
     new = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("asset"), F.lit(100).alias("pos"), F.concat(F.lit("k"), F.col("o_custkey") % 5).alias("key"), F.col("o_orderstatus").alias("value"))
     return old, new
 
 
-_FIELDS_SQL = """old AS (SELECT l_orderkey AS asset, l_linenumber AS pos, 'k' || (l_partkey % 5) AS key, l_returnflag AS value FROM lineitem WHERE l_linenumber <= 4),
+_FIELDS_SQL = """old AS (SELECT l_orderkey AS asset, l_linenumber AS pos, 'k' || (l_partkey % 5) AS key, l_returnflag AS value FROM lineitem),
 fresh AS (SELECT o_orderkey AS asset, 100 AS pos, 'k' || (o_custkey % 5) AS key, o_orderstatus AS value FROM orders)"""
 
 
@@ -347,10 +350,12 @@ def crc_frame(spark, sf_dir):
     return framed.select("doc_id", F.crc32(F.substring("f", 12, 1 << 30)).alias("crc"), F.octet_length("f").alias("length"), binary.unframe(F.col("f"))["status"].alias("status"))
 
 
-@query()
+_HMAC_KEY = b"test key"
+
+
+@query(f"""SELECT doc_id, substr(sha256(unhex('{bytes(c ^ 0x5C for c in _HMAC_KEY.ljust(64, bytes(1))).hex()}') || unhex(sha256(unhex('{bytes(c ^ 0x36 for c in _HMAC_KEY.ljust(64, bytes(1))).hex()}') || encode(text)))), 1, 32) AS tag FROM documents""")
 def hmac_tag(spark, sf_dir):
-    prepare(spark)
-    return table(spark, sf_dir, "documents").select("doc_id", payload.hmac_tag(b"test key")(F.col("text").cast("binary")).alias("tag"))
+    return table(spark, sf_dir, "documents").select("doc_id", payload.hmac_tag(_HMAC_KEY)(F.col("text").cast("binary")).alias("tag"))
 
 
 def _payload_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -487,59 +492,85 @@ def output_path_numbers(spark, sf_dir):
     return files.disjoint(files.output_paths(p, "out/"))
 
 
-def _manifest_json(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s = table(spark, sf_dir, "supplier")
-    k = F.col("s_suppkey")
-    sig = F.struct(F.lit("ed25519").alias("algorithm"), F.when(k % 7 == 0, "other").otherwise("a").alias("key_id"), F.when(k % 5 == 0, "zz").otherwise(F.repeat(F.lit("ab"), 64)).alias("signature"))
-    key = F.struct(F.lit("a").alias("key_id"), F.when(k % 11 == 0, "00").otherwise(F.repeat(F.lit("cd"), 32)).alias("public_key"))
-    digest = F.concat(F.lit("sha256:"), F.sha2(F.when(k % 3 == 0, F.concat("s_name", F.lit("x"))).otherwise(F.col("s_name")), 256))
-    json = F.when(k % 13 == 0, "{broken").otherwise(F.to_json(F.struct(F.lit(1).alias("schema_version"), digest.alias("image_digest"), F.array(sig).alias("signatures"), F.array(key).alias("keys"))))
-    return s.select("s_suppkey", F.concat(F.lit("p"), k).alias("path"), json.alias("json")), s.select(F.concat(F.lit("p"), k).alias("path"), F.col("s_name").alias("content"))
+_KEYS = {"61": bytes(range(32)), "62": bytes(range(1, 33))}
+
 
+def _signed_manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Manifests over the suppliers' names, the files they are bound to, and the caller's keys.
+
+    Real signatures by key a or b; some over another claim, of broken hex or by a key that isn't listed; some manifests
+    list another key as a, are bound to another file, refer to a payload that isn't there, or aren't JSON.
+    """
+    prepare(spark)
+    k = F.col("s_suppkey")
+    public = {i: ed25519.public_key(v).hex() for i, v in _KEYS.items()}
+    digest = lambda c: F.concat(F.lit("sha256:"), F.sha2(c, 256))
+    own = {
+        "claim_id": F.md5("s_name"), "content_code": F.concat(F.lit("local:"), F.sha2("s_name", 224)), "created_at": k + 1_700_000_000, "file_size": F.length("s_name").cast("long"), "format": F.lit("png"),
+        "height": F.lit(480).cast("long"), "instance_digest": digest(F.when(k % 3 == 0, F.concat("s_name", F.lit("x"))).otherwise(F.col("s_name"))), "issuer_id": F.lit("aXNzdWVy"), "notice_digest": digest(F.concat("s_name", F.lit(" notice"))),
+        "rights_policy": (k % 12).cast("int"), "schema_version": F.lit(1), "software": F.lit("catalogue/1"), "statement_uri": F.when(k % 2 == 0, F.concat(F.lit("https://rights.example/"), k)), "width": F.lit(640).cast("long"),
+    }
+    claim = lambda **other: F.struct(*[(own | other).get(c, F.lit(None).cast(t)).alias(c) for c, t in manifests.CLAIM.items()])
+    signer = F.when((k % 2 == 0) | (k % 11 == 0), "61").otherwise("62")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", signer.alias("signer"), claim().alias("claim"))
+    s = s.withColumn("message", F.when(k % 5 == 0, manifests.canonical_claim(claim(width=F.lit(641).cast("long")))).otherwise(manifests.canonical_claim(F.col("claim"))))
 
-@query("""SELECT s_suppkey, 'p' || s_suppkey AS path, CASE WHEN s_suppkey % 13 = 0 THEN 'ConfigurationError' WHEN s_suppkey % 3 = 0 THEN 'BindingFailed' WHEN s_suppkey % 11 = 0 OR s_suppkey % 7 = 0 THEN 'KeyMaterialFailed' WHEN s_suppkey % 5 = 0 THEN 'SignatureFailed' ELSE 'Verified' END AS status,
-  CASE WHEN s_suppkey % 13 = 0 THEN 4 WHEN s_suppkey % 3 = 0 OR s_suppkey % 11 = 0 OR s_suppkey % 7 = 0 OR s_suppkey % 5 = 0 THEN 3 ELSE 0 END AS exit_code FROM supplier""")
+    def run(frames):
+        for f in frames:
+            yield f[["s_suppkey"]].assign(signature=[ed25519.sign(_KEYS[i], m.encode()).hex() for i, m in zip(f["signer"], f["message"], strict=True)])
+
+    signed = s.select("s_suppkey", "signer", "message").repartition(spark.sparkContext.defaultParallelism, "s_suppkey").mapInPandas(run, "s_suppkey long, signature string").cache()
+    s = s.join(signed, "s_suppkey")
+    code = lambda i: F.array(F.conv(i, 16, 10).cast("int"))
+    sig = F.struct(
+        F.lit("ed25519").alias("algorithm"), code(F.when(k % 7 == 0, "6f").otherwise(F.col("signer"))).alias("key_id"),
+        F.when(k % 17 == 0, F.concat(F.substring("signature", 1, 127), F.lit("z"))).otherwise(F.col("signature")).alias("signature"),
+    )
+    key = lambda i, v: F.struct(code(F.lit(i)).alias("key_id"), F.lit("ed25519").alias("algorithm"), v.alias("key_bytes"))
+    keys = F.array(key("61", F.when(k % 11 == 0, public["62"]).otherwise(public["61"])), key("62", F.lit(public["62"])))
+    reference = F.when(k % 19 == 0, F.struct(digest(F.lit("payload")).alias("payload_digest"), F.lit(3).alias("payload_version")))
+    json = F.to_json(F.struct(F.lit(1).alias("schema_version"), "claim", F.array(sig).alias("signatures"), keys.alias("public_keys"), reference.alias("embedded_reference")))
+    m = s.select("s_suppkey", F.concat(F.lit("p"), k).alias("path"), F.when(k % 13 == 0, F.substring(json, 1, 300)).otherwise(json).alias("json"))
+    files_ = table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), k).alias("path"), F.col("s_name").alias("content"))
+    return m, files_, spark.createDataFrame([("61", public["61"])], "key_id string, public_key string")
+
+
+@query("""SELECT s_suppkey, path, status, CASE WHEN s_suppkey % 13 <> 0 AND s_suppkey % 19 = 0 THEN 'Stripped' ELSE 'NotProvided' END AS embedded,
+  CASE status WHEN 'VerifiedTrusted' THEN 0 WHEN 'VerifiedUntrusted' THEN 4 WHEN 'InvalidConfiguration' THEN 2 ELSE 3 END AS exit_code
+FROM (SELECT s_suppkey, 'p' || s_suppkey AS path, CASE WHEN s_suppkey % 13 = 0 OR s_suppkey % 17 = 0 OR s_suppkey % 7 = 0 THEN 'InvalidConfiguration' WHEN s_suppkey % 3 = 0 THEN 'BindingFailure' WHEN s_suppkey % 11 = 0 THEN 'KeyMaterialMismatch'
+  WHEN s_suppkey % 5 = 0 THEN 'SignatureFailure' WHEN s_suppkey % 19 = 0 THEN 'EmbeddedReferenceFailure' WHEN s_suppkey % 2 = 0 THEN 'VerifiedTrusted' ELSE 'VerifiedUntrusted' END AS status FROM supplier)""")
 def detached_manifest_check(spark, sf_dir):
-    m, f = _manifest_json(spark, sf_dir)
-    trusted = spark.createDataFrame([("a", "cd" * 32)], "key_id string, public_key string")
+    m, f, trusted = _signed_manifests(spark, sf_dir)
     return manifests.check(manifests.parse(m), f, "s_suppkey", trusted)
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'unknown_key' END AS k, CASE WHEN s_suppkey % 5 = 0 THEN 'bad_signature' END AS s FROM supplier WHERE s_suppkey % 13 <> 0 AND (s_suppkey % 7 = 0 OR s_suppkey % 5 = 0)""")
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'unknown_key' END AS k, CASE WHEN s_suppkey % 17 = 0 THEN 'bad_signature' END AS s FROM supplier WHERE s_suppkey % 13 <> 0 AND (s_suppkey % 7 = 0 OR s_suppkey % 17 = 0)""")
 def manifest_signature_antijoin(spark, sf_dir):
-    v = manifests.violations(manifests.parse(_manifest_json(spark, sf_dir)[0]), "s_suppkey")
+    v = manifests.violations(manifests.parse(_signed_manifests(spark, sf_dir)[0]), "s_suppkey")
     by = v.groupBy("s_suppkey").agg(F.max(F.when(F.col("rule") == "unknown_key", F.col("rule"))).alias("k"), F.max(F.when(F.col("rule") == "bad_signature", F.col("rule"))).alias("s"))
     return by.where("k is not null or s is not null")
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'b' ELSE 'a' END AS key_id, s_suppkey % 7 <> 0 AS trusted, s_suppkey % 5 <> 0 AND s_suppkey % 11 <> 0 AS valid FROM supplier")
+@query("""SELECT s_suppkey, key_id, key_id = '61' AND s_suppkey % 11 <> 0 AS trusted, key_id <> '61' OR s_suppkey % 11 <> 0 AS key_material_matched, key_id <> '6f' AND s_suppkey % 5 <> 0 AND s_suppkey % 17 <> 0 AS valid
+FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN '6f' WHEN s_suppkey % 2 = 0 OR s_suppkey % 11 = 0 THEN '61' ELSE '62' END AS key_id FROM supplier WHERE s_suppkey % 13 <> 0)""")
 def manifest_signature_verify(spark, sf_dir):
-    """Signatures made here over claims: by a trusted key or a listed one; some over another claim, some of broken hex."""
-    prepare(spark)
-    secrets = {"a": bytes(range(32)), "b": bytes(range(1, 33))}
-    public = {k: ed25519.public_key(v).hex() for k, v in secrets.items()}
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 7 == 0, "b").otherwise("a").alias("key_id"))
-    claim = lambda name: F.struct(*[(name if c == "content_code" else F.lit(None).cast("string")).alias(c) for c in manifests.CLAIM])
-    signed = F.when(F.col("s_suppkey") % 5 == 0, F.concat("s_name", F.lit("x"))).otherwise(F.col("s_name"))
-    s = s.select("*", manifests.canonical_claim(claim(signed)).alias("message"))
-
-    def run(frames):
-        for f in frames:
-            made = [ed25519.sign(secrets[k], m.encode()).hex() for k, m in zip(f["key_id"], f["message"], strict=True)]
-            yield f.assign(signature=[x[:-1] + "z" if n % 11 == 0 else x for n, x in zip(f["s_suppkey"], made, strict=True)])
-
-    s = s.mapInPandas(run, "s_suppkey long, s_name string, key_id string, message string, signature string")
-    keys = F.array(*[F.struct(F.lit(k).alias("key_id"), F.lit(v).alias("public_key")) for k, v in public.items()])
-    sig = F.struct(F.lit("ed25519").alias("algorithm"), F.col("key_id"), F.col("signature"))
-    json = F.to_json(F.struct(F.lit("sha256:").alias("image_digest"), F.struct(F.col("s_name").alias("content_code")).alias("claim"), F.array(sig).alias("signatures"), keys.alias("keys")))
-    return manifests.signature_results(manifests.parse(s.select("s_suppkey", json.alias("json"))), "s_suppkey", spark.createDataFrame([("a", public["a"])], "key_id string, public_key string"))
+    m, _, trusted = _signed_manifests(spark, sf_dir)
+    return manifests.signature_results(manifests.parse(m), "s_suppkey", trusted)
 
 
-@query("""SELECT doc_id, sha256('{"content_code":"' || lang || '","created_at":' || doc_id || ',"file_size":' || n_chars || ',"rights_policy":"' || source || '"}') AS digest FROM documents""")
+@query("""SELECT doc_id, sha256('{"content_code":"local:' || md5(text) || '","created_at":' || (1700000000 + doc_id) || ',"file_size":' || strlen(text) || ',"format":"png","height":480,"instance_digest":"sha256:' || sha256(text)
+  || '","issuer_id":"' || lang || '","notice_digest":"sha256:' || sha256(source) || CASE WHEN doc_id % 3 = 0 THEN '","parent_claim_id":"' || md5(source) ELSE '' END || '","rights_policy":' || (doc_id % 12)
+  || ',"schema_version":1,"software":"catalogue/1"' || CASE WHEN doc_id % 2 = 0 THEN ',"statement_uri":"https://rights.example/' || doc_id || '"' ELSE '' END || ',"width":640}') AS digest
+FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents)""")
 def claim_digest(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    own = {"claim_id": F.lit("x"), "content_code": F.col("lang"), "created_at": F.col("doc_id"), "file_size": F.col("n_chars"), "rights_policy": F.col("source")}
-    claim = F.struct(*[own.get(c, F.lit(None).cast("string")).alias(c) for c in manifests.CLAIM])
+    d = table(spark, sf_dir, "documents").select("doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")])
+    k = F.col("doc_id")
+    own = {
+        "claim_id": F.md5("text"), "content_code": F.concat(F.lit("local:"), F.md5("text")), "created_at": k + 1_700_000_000, "file_size": F.octet_length("text").cast("long"), "format": F.lit("png"), "height": F.lit(480).cast("long"),
+        "instance_digest": conformance.typed_digest(F.col("text")), "issuer_id": F.col("lang"), "notice_digest": conformance.typed_digest(F.col("source")), "parent_claim_id": F.when(k % 3 == 0, F.md5("source")),
+        "rights_policy": (k % 12).cast("int"), "schema_version": F.lit(1), "software": F.lit("catalogue/1"), "statement_uri": F.when(k % 2 == 0, F.concat(F.lit("https://rights.example/"), k)), "width": F.lit(640).cast("long"),
+    }
+    claim = F.struct(*[own[c].alias(c) for c in manifests.CLAIM])
     return d.select("doc_id", F.sha2(manifests.canonical_claim(claim), 256).alias("digest"))
 
 
@@ -555,11 +586,11 @@ def legal_validate(spark, sf_dir):
 # ---- further carriers and similar images
 
 
-_BITS = 48
+_BITS = 64
 
 
-@query(f"""WITH c AS (SELECT vec_id AS id, list_sum(list_transform(range({_BITS}), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i::INT ELSE 0 END))::BIGINT AS code FROM embeddings UNION ALL
- SELECT vec_id + 1000000, xor(xor(list_sum(list_transform(range({_BITS}), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i::INT ELSE 0 END))::BIGINT, 1::BIGINT << (vec_id % 40)::INT), 1::BIGINT << (vec_id % 7)::INT) FROM embeddings)
+@query(f"""WITH v AS (SELECT vec_id AS id, list_sum(list_transform(range({_BITS}), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END))::HUGEINT AS code FROM embeddings),
+c AS (SELECT * FROM v UNION ALL SELECT id + 1000000, xor(xor(code, 1::HUGEINT << (id % 40)::INT), 1::HUGEINT << (id % 7)::INT) FROM v)
 SELECT x.id AS a, y.id AS b, bit_count(xor(x.code, y.code))::INT AS distance FROM c x JOIN c y ON x.id < y.id AND bit_count(xor(x.code, y.code)) <= 7""")
 def phash_hamming_pairs(spark, sf_dir):
     signs = F.transform(F.sequence(F.lit(0), F.lit(_BITS - 1)), lambda i: F.when(F.get(F.col("embedding"), i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
