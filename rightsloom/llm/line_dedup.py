@@ -10,8 +10,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import prepare, small, written
+from .common import attach_groups, prepare, small, written
 
 MIN_DOCUMENTS = 10
 MIN_CHARS = 1
@@ -155,6 +156,10 @@ def build_filter(hi: np.ndarray, lo: np.ndarray) -> Cuckoo:
 
 # ---- index
 
+def _shards_for(keys: int) -> int:
+    return 1 + keys // SHARD_KEYS
+
+
 def shard_of(hi, shards: int):
     """Shard by the key's first half; numpy's mod gives the same."""
     return F.pmod(hi, F.lit(shards)).cast("int")
@@ -165,7 +170,9 @@ class LineIndex:
 
     insert() and delete() take documents and give a new index: counts are added or taken back exactly, keys that
     reach the threshold enter their shard's filter, keys that fall below leave it. Deleting what was inserted
-    gives back the former counts and answers. Tables are written to the shared folder; an index is never changed.
+    gives back the former counts and answers; deleting lines that the index lacks is an error. When the frequent keys
+    need twice as many shards, the filters are built anew from the exact table. Tables are written to the shared
+    folder; an index is never changed.
     """
 
     def __init__(self, counts: DataFrame, filters: DataFrame, shards: int, min_documents: int, min_chars: int):
@@ -174,7 +181,7 @@ class LineIndex:
     @classmethod
     def build(cls, docs: DataFrame, text_col: str = "text", min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS) -> LineIndex:
         counts = written(references(docs, text_col, min_chars), "line_counts")
-        shards = 1 + counts.where(F.col("n") >= min_documents).count() // SHARD_KEYS
+        shards = _shards_for(counts.where(F.col("n") >= min_documents).count())
         empty = docs.sparkSession.createDataFrame([], "shard int, filter binary")
         index = cls(counts, empty, shards, min_documents, min_chars)
         index.filters = written(index._changed(counts.select("hi", "lo", F.lit(0).cast("long").alias("old"), "n"), empty), "line_filters")
@@ -210,9 +217,15 @@ class LineIndex:
         merged = self.counts.withColumnRenamed("n", "o").join(delta, ["hi", "lo"], "full")
         old, d = F.coalesce("o", F.lit(0).cast("long")), F.coalesce("d", F.lit(0).cast("long"))
         merged = written(merged.select("hi", "lo", old.alias("old"), (old + d).alias("n")), "line_changes")
+        if merged.where("n < 0").limit(1).count():
+            raise ValueError("documents to delete aren't all in the index")
         new = LineIndex(merged.where("n > 0").select("hi", "lo", "n"), self.filters, self.shards, self.min_documents, self.min_chars)
-        filters = written(new._changed(merged, self.filters), "line_filters")
-        if filters.where(F.length("filter") == 0).limit(1).count():
+        needed = _shards_for(new.frequent().count())
+        grown = needed >= 2 * self.shards
+        if grown:  # shards stay within twice the keys that one task builds
+            new.shards = needed
+        filters = None if grown else written(new._changed(merged, self.filters), "line_filters")
+        if grown or filters.where(F.length("filter") == 0).limit(1).count():
             every = merged.where(F.col("n") > 0).select("hi", "lo", F.lit(0).cast("long").alias("old"), "n")
             filters = written(new._changed(every, self.filters.where("false")), "line_filters")
         new.filters = filters
@@ -247,22 +260,28 @@ class LineIndex:
             rest = self.counts.where(F.col("n") < self.min_documents).select("hi", "lo")
             wrong = written(rest.mapInArrow(_held_batches(held), "hi long, lo long"), "line_exceptions")
             if wrong.count() <= MAX_EXCEPTIONS:
-                keys = sc.broadcast(frozenset((r["hi"], r["lo"]) for r in wrong.collect()))  # within MAX_EXCEPTIONS
+                found = wrong.toPandas().sort_values("hi")  # within MAX_EXCEPTIONS, 16 bytes each
+                keys = sc.broadcast((found["hi"].to_numpy(np.int64), found["lo"].to_numpy(np.int64)))
                 return docs.mapInArrow(_dropping(text_col, self.min_chars, held, keys), schema)
         return self._apply_by_shuffle(docs, text_col, schema)
 
     def _apply_by_shuffle(self, docs: DataFrame, text_col: str, schema) -> DataFrame:
+        """Equal texts are looked up once. Keys and texts with over a thousandth of all rows don't go to one task, see attach_groups()."""
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        keyed = docs.withColumn("_doc", F.md5(text))
-        lines = keyed.select("_doc", text.alias("text")).mapInArrow(_line_batches(self.min_chars), "_doc string, hi long, lo long")
-        found = lines.join(self.frequent(), ["hi", "lo"], "left_semi").groupBy("_doc").agg(F.collect_set(F.struct("hi", "lo")).alias("_drop"))
-        with_lists = keyed.join(found, "_doc", "left").drop("_doc")
-        return with_lists.mapInArrow(_dropping(text_col, self.min_chars, None, None), schema)
+        keyed = docs.withColumn("_doc", F.sha2(text, 256))
+        texts = written(keyed.groupBy("_doc").agg(F.first(text).alias("text"), F.count("*").alias("size")), "line_texts")
+        lines = written(texts.select("_doc", "text").mapInArrow(_line_batches(self.min_chars), "_doc string, hi long, lo long"), "line_places")
+        lines = lines.select("_doc", F.struct("hi", "lo").alias("key"))
+        frequent = written(self.counts.where(F.col("n") >= self.min_documents).select(F.struct("hi", "lo").alias("key"), "n"), "line_frequent")
+        spread = F.struct(F.xxhash64("_doc", "key").alias("hi"), F.xxhash64("key", "_doc").alias("lo"))
+        known = attach_groups(lines, frequent, "key", "n", lines.count(), spread).where("n is not null")
+        lists = known.groupBy("_doc").agg(F.collect_set("key").alias("_drop"))  # no more than the lines of one text
+        found = written(texts.select("_doc", "size").join(lists, "_doc"), "line_lists")
+        with_lists = attach_groups(keyed, found, "_doc", "size", docs.count(), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
+        return with_lists.drop("_doc", "size").mapInArrow(_dropping(text_col, self.min_chars, None, None), schema)
 
 
 def _plus(docs: DataFrame):
-    from pyspark.sql import types as T
-
     return T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType()), T.StructField("_kept", T.StringType())])
 
 
@@ -318,7 +337,8 @@ def _dropping(text_col: str, min_chars: int, held, exceptions):
 
     def run(batches):
         filters = _opened(held) if held is not None else None
-        wrong = exceptions.value if exceptions is not None else frozenset()
+        wrong_hi, wrong_lo = exceptions.value if exceptions is not None else (np.zeros(0, np.int64),) * 2
+        run_of = int(np.unique(wrong_hi, return_counts=True)[1].max(initial=0))  # exceptions with one first half: one, but for chance
         for batch in small(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(text_col).to_pylist()]
             lines = [t.split(b"\n") for t in texts]
@@ -329,9 +349,10 @@ def _dropping(text_col: str, min_chars: int, held, exceptions):
                 if known:
                     hi, lo = _as_pairs(known)
                     hit = _holds(filters, hi, lo)
-                    if wrong:
-                        for i in np.flatnonzero(hit):
-                            hit[i] = (int(hi[i]), int(lo[i])) not in wrong
+                    at = np.searchsorted(wrong_hi, hi)
+                    for k in range(run_of):
+                        near = np.minimum(at + k, len(wrong_hi) - 1)
+                        hit &= (wrong_hi[near] != hi) | (wrong_lo[near] != lo)
                     drop[np.fromiter((k is not None for k in keys), bool, len(keys))] = hit
                 drop = drop.tolist()
             else:
@@ -370,10 +391,15 @@ def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: i
 
 
 def deduplicated_documents(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """docs with all columns and rows, text without its frequent lines, n_chars (if there) counted anew."""
-    out = LineIndex.build(docs, text_col, min_documents, min_chars).apply(docs, text_col)
+    """docs with all columns and rows, text without its frequent lines, n_chars (if there) counted anew.
+
+    Null texts become empty ones. Rows that repeat are documents of their own, ids aren't read, columns of any name pass
+    through, and an empty table gives an empty one.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    out = LineIndex.build(whole, "text", min_documents, min_chars).apply(whole, "text")
     kind = docs.schema
-    columns = {c: F.col(c) for c in docs.columns} | {text_col: F.col("_kept").cast(kind[text_col].dataType)}
+    columns = {c: F.col("whole").getField(c) for c in docs.columns} | {text_col: F.col("_kept").cast(kind[text_col].dataType)}
     if chars_col in docs.columns:
         columns[chars_col] = F.length("_kept").cast(kind[chars_col].dataType)
     return out.select(*[c.alias(n) for n, c in columns.items()])

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare, small
 
@@ -139,21 +140,25 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_batches, f"doc_id long, {_FIGURES}")
 
 
-def _cleaner(schema: pa.Schema | None, text_col: str, chars_col: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            found = [assess(t) for t in batch.column(text_col).to_pylist()]
-            keep = pa.array([x["kept"] for x in found], pa.bool_())
-            columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
-            columns[text_col] = pa.array([x["clean_text"] for x in found], batch.schema.field(text_col).type)
-            if chars_col:
-                columns[chars_col] = pa.array([len(x["clean_text"]) for x in found], batch.schema.field(chars_col).type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns)).filter(keep)
-
-    return run
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small(batches):
+        found = [assess(t) for t in batch.column("text").to_pylist()]
+        keep = pa.array([x["kept"] for x in found], pa.bool_())
+        clean = [x["clean_text"] for x in found]
+        yield pa.RecordBatch.from_arrays([batch.column("whole"), pa.array(clean, pa.string()), pa.array(list(map(len, clean)), pa.int64())], ["whole", "text", "chars"]).filter(keep)
 
 
 def cleaned_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """The kept rows with all their columns; text without its failing lines, n_chars (if there) counted anew."""
+    """The kept rows with all their columns; text without its failing lines, n_chars (if there) counted anew.
+
+    Null and empty texts fail the base and go. Each row is judged by itself, whatever its id, so rows that repeat stay
+    or go together; columns of any name pass through, and an empty table gives an empty one.
+    """
     prepare(docs.sparkSession)
-    return docs.mapInArrow(_cleaner(None, text_col, chars_col if chars_col in docs.columns else None), docs.schema)
+    chars = [f for f in docs.schema.fields if f.name == chars_col]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    out = whole.mapInArrow(_cleaned, T.StructType([*whole.schema.fields, T.StructField("chars", T.LongType())]))
+    columns = {c: F.col("whole").getField(c) for c in docs.columns} | {text_col: F.col("text").cast(docs.schema[text_col].dataType)}
+    if chars:
+        columns[chars_col] = F.col("chars").cast(chars[0].dataType)
+    return out.select(*[c.alias(n) for n, c in columns.items()])

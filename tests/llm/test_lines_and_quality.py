@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rightsloom.llm import line_dedup, quality
 
@@ -127,3 +129,65 @@ def test_exceptions_keep_lines_that_a_filter_holds_wrongly(spark, monkeypatch):
 def test_stage_keeps_columns(docs):
     out = line_dedup.deduplicated_documents(docs)
     assert out.schema == docs.schema and out.count() == docs.count()
+
+
+def test_shards_follow_the_keys(spark, monkeypatch):
+    """An index that starts empty gets shards as it grows; its answers are those of one built at once."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 50)
+    docs = spark.createDataFrame([(i, "\n".join(f"line {j}" for j in range(i % 3, 300, 3))) for i in range(30)], "doc_id long, text string")
+    empty = line_dedup.LineIndex.empty(spark, min_documents=3)
+    grown = empty.insert(docs)
+    assert empty.shards == 1 and grown.shards == 7 and grown.filters.count() > 4
+    assert sorted(r._kept for r in grown.apply(docs).collect()) == sorted(r._kept for r in line_dedup.LineIndex.build(docs, min_documents=3).apply(docs).collect())
+
+
+def test_deleting_what_is_not_there_is_an_error(spark):
+    docs = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
+    index = line_dedup.LineIndex.build(docs, min_documents=1)
+    with pytest.raises(ValueError, match="aren't all in the index"):
+        index.delete(spark.createDataFrame([(2, "b\nc")], "doc_id long, text string"))
+
+
+def test_large_groups_by_shuffle(spark):
+    """One text in most rows, one line in all of them."""
+    rows = [(i, "same\ncommon\nown text") if i % 10 else (i, f"common\nrow {i}") for i in range(400)]
+    got = Counter((r.doc_id, r.kept_text) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 10, max_filter_bytes=0).collect())
+    assert got == Counter((i, "" if i % 10 else f"row {i}") for i, _ in rows)
+
+
+def test_stages_with_columns_of_any_name(spark, docs):
+    extra = {c: F.lit("x") for c in ("_n_lines", "_n_dropped", "_kept", "_doc", "_drop", "whole", "text ", "chars", "a.b", "key")}
+    named = docs.withColumns(extra)
+    for stage in (quality.cleaned_documents, line_dedup.deduplicated_documents):
+        out = stage(named)
+        assert out.schema.names == named.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in named.schema]
+        assert Counter(tuple(r) for r in out.select(*docs.columns).collect()) == Counter(tuple(r) for r in stage(docs).collect())
+
+
+def test_kept_against_a_plain_reading(docs, rows):
+    """The verdict by rules written anew: what a line fails, what a document loses."""
+
+    def fails(line):
+        words = re.findall(r"[^\x20\x09-\x0D]+", line)
+        n = len(words)
+        bars = sum(w in list("|»›•·>") for w in re.split(r"\s", line))
+        if sum(line.count(c) for c in "#*$%&|<>") > 0.3 * n:
+            return True
+        if len(re.findall("[!?]{2,}", line)) > 0.2 * n or (n >= 25 and not any(c in line for c in ".!?,;:…。！？、，।؟")):
+            return True
+        if n <= 20 and quality.BOILERPLATE.search(line):
+            return True
+        if 3 <= n <= 20 and (bars >= 3 or sum(w.strip(".,:|").lower() in quality.NAV_WORDS for w in line.split()) >= 0.7 * n):
+            return True
+        return n >= 8 and line == line.upper() != line.lower() and sum(c.isalpha() for c in line) >= 20
+
+    want = Counter()
+    for i, t, _ in rows:
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+        repeated = {k + j for k in range(len(words) - 2) if grams[tuple(words[k : k + 3])] > 1 for j in range(3)}
+        size = lambda x: sum(map(len, re.findall(r"[^\x20\x09-\x0D]+", x)))
+        bad = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
+        want[(i, len(words), not bad and sum(size(x) for x in lines if fails(x)) <= 0.4 * size(t or ""))] += 1
+    assert Counter((r.doc_id, r.n_words, r.kept) for r in quality.quality_rules(docs).collect()) == want
