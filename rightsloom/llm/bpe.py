@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from .common import prepare, small, tokenizer_path
 from .token_counts import counter
 
-#: A chunk ends where these bits of the rolling hash over the last 32 bytes are 0 (once in 512 bytes), wherever in a word
-#: that is, but has this many bytes at least.
-CUT_BITS, LEAST = 0x1FF, 64
+#: A chunk ends where so many high bits of the rolling hash over the last 32 bytes are 0 (once in 512 bytes), wherever in a
+#: word that is, but has this many bytes at least.
+CUT_BITS, LEAST = 9, 64
 #: Characters of chunks that a worker remembers, in each of two generations (with their ids about twice as many bytes).
 MEMO = 4_000_000
 #: Pre-tokens that a worker remembers.
@@ -103,7 +103,7 @@ class ChunkEncoder:
         """The text cut at characters where the hash of the bytes before is 0, not within what normalises together."""
         raw = text.encode("utf-8", "surrogatepass")
         data = np.frombuffer(raw, np.uint8)
-        cuts = np.flatnonzero(rolling_hash(data) & np.uint32(CUT_BITS) == 0) + 1
+        cuts = np.flatnonzero(rolling_hash(data) >> np.uint32(32 - CUT_BITS) == 0) + 1
         if not len(cuts):
             return [text] if text else []
         if len(raw) != len(text):

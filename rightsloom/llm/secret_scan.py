@@ -21,9 +21,10 @@ HEX = re.compile(r"[0-9a-f]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "model")
 
-#: Runs of key characters that the network judges where the base finds nothing: from this length on, with a letter and a digit.
+#: Runs of key characters that the network judges where the base finds nothing: from this length on, with letters and
+#: digits, or with letters of both cases in a part without signs that is as long.
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+_DIGIT, _LETTER, _MIXED = re.compile("[0-9]"), re.compile("[A-Za-z]"), re.compile("(?=[A-Za-z]{16})(?=[A-Z]*[a-z]+[A-Z])[A-Za-z]+")
 _NAMES = ("passw", "secret", "token", "api_key", "apikey")
 
 # ---- candidates
@@ -47,10 +48,15 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     """Base spans, and further runs that overlap none of them."""
     runs = [m.span() for m in RUN.finditer(text)]
     base = base_spans(text, runs)
-    more = []
-    for a, b in runs:
+    more, i, end = [], 0, 0
+    for a, b in runs:  # both lists go by their starts, so one pass tells what overlaps
+        while i < len(base) and base[i][0] < b:
+            end = max(end, base[i][2])
+            i += 1
+        if end > a:
+            continue
         s = text[a:b]
-        if _DIGIT.search(s) and _LETTER.search(s) and not any(x < b and a < y for x, _, y in base):
+        if (_DIGIT.search(s) and _LETTER.search(s)) or _MIXED.search(s):
             more.append((a, 3, b))
     return base, more
 
@@ -205,7 +211,7 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
         lambda: chars(_HEX, pick([32, 40, 48, 64])), lambda: chars(_B64, int(r.integers(20, 64))), lambda: "AKIA" + chars(_UP, 16),
         lambda: "ghp_" + chars(_B64[:62], 36), lambda: "xoxb-" + chars("0123456789", 11) + "-" + chars(_B64[:62], 24), lambda: "sk_live_" + chars(_B64[:62], 24),
         lambda: "AIza" + chars(_B64[:62] + "-_", 35), lambda: "eyJ" + chars(_B64[:62], 30) + "." + chars(_B64[:62] + "-_", 40), lambda: chars(_B64[:62] + "-_", int(r.integers(18, 44))),
-        lambda: chars(_B64, 43) + "=", lambda: chars(_HEX, 8) + "-" + chars(_HEX, 4) + "-4" + chars(_HEX, 3) + "-a" + chars(_HEX, 3) + "-" + chars(_HEX, 12),
+        lambda: chars(string.ascii_letters, int(r.integers(18, 44))), lambda: chars(_B64, 43) + "=", lambda: chars(_HEX, 8) + "-" + chars(_HEX, 4) + "-4" + chars(_HEX, 3) + "-a" + chars(_HEX, 3) + "-" + chars(_HEX, 12),
     ]
     names = ["token", "secret", "api_key", "apikey", "password", "key", "auth", "Authorization: Bearer", "access_key", "client_secret", "credential", "private_key", "pwd"]
     others = [
@@ -214,6 +220,7 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
         lambda: "v" + num(0, 20) + "." + num(0, 99) + "." + num(0, 99) + "-" + word() + "." + word(), lambda: word() + "_" + word() + "_" + word() + num(0, 99), lambda: word() + "-" + word() + "-" + word() + "-" + num(1, 999),
         lambda: "xxxxxxxxxxxxxxxx" + num(1, 9), lambda: "your_api_key_here_" + num(1, 9), lambda: "=" * int(r.integers(12, 30)) + word() + num(1, 9), lambda: word() + "." + word() + "." + word() + ".html" + num(1, 9),
         lambda: num(10**8, 10**9) + "." + num(10**6, 10**7) + "e-" + num(1, 9), lambda: "chapter-" + num(1, 99) + "." + word() + word(), lambda: word().capitalize() + word().capitalize() + word().capitalize() + num(1, 99) + word(), lambda: "1234567890abcdefgh",
+        lambda: "".join(word().capitalize() for _ in range(int(r.integers(4, 9)))), lambda: word() + "".join(word().capitalize() for _ in range(int(r.integers(4, 9)))), lambda: "/".join(word().capitalize() for _ in range(6)),
         lambda: "--------" + num(1, 9) + "--" + word() + "-----", lambda: "www." + word() + word() + num(1, 99) + ".example.org/" + word(),
     ]
     out, y = [], []

@@ -12,11 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, small
+from .common import prepare, small, written
 
-#: Labelled rows that the model is fitted on at most: those whose ids hash lowest.
-MAX_TRAINING_ROWS = 20_000
-#: Words kept as features at most, by strength of their association with the label.
+#: Labelled documents that the model is fitted on at most: those whose ids hash lowest; and bytes of their words' hashes, for
+#: the driver holds those (8 bytes for each distinct word of a document).
+MAX_TRAINING_ROWS, MAX_TRAINING_BYTES = 20_000, 48 << 20
+#: Words that have a weight at most, those most associated with the label: a parameter of the model, like its penalty.
 MAX_FEATURES = 50_000
 HELD_OUT = 5
 GRADES = 3
@@ -96,7 +97,7 @@ def fit_ordinal(x: Sparse, grade: np.ndarray, steps: int = 250, l1: float = 2e-4
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
         rows = [np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in words_of(t)), np.int64) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "toxic", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(list(map(len, rows)), pa.int64())], ["doc_id", "toxic", "words", "n"])
 
 
 def _spelled(wanted):
@@ -109,11 +110,12 @@ def _spelled(wanted):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel | None:
-    """Fits on at most max_rows labelled documents (ids by lowest hash); the driver holds their distinct words' hashes.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_bytes: int = MAX_TRAINING_BYTES, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel | None:
+    """Fits on at most max_rows labelled documents (ids by lowest hash) of max_bytes; the driver holds their distinct words' hashes.
 
     Labels tell toxic or not. Severity grades are induced: words far more frequent in toxic documents are markers,
-    and a toxic document's grade is 1 with up to one marker, 2 with two or three, 3 with more; others have grade 0.
+    and a toxic document's grade is 1 with up to one marker, 2 with two or three, 3 with more; others have grade 0. The
+    markers that grade a document are found in the other half of the documents, never by its own label.
     The threshold maximises F1 on the fifth of the rows that was not trained on. None without labels of both kinds.
     """
     spark = docs.sparkSession
@@ -121,8 +123,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     own = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    labelled = texts.join(F.broadcast(chosen), "doc_id")  # max_rows rows
-    rows = sorted((r["doc_id"], r["toxic"], bytes(r["words"])) for r in labelled.mapInArrow(_hashed, "doc_id long, toxic int, words binary").collect())
+    labelled = texts.join(F.broadcast(chosen), "doc_id")  # max_rows ids
+    found = labelled.mapInArrow(_hashed, "doc_id long, toxic int, words binary, n long").withColumn("row", F.monotonically_increasing_id())
+    found = written(found.withColumn("place", F.xxhash64("doc_id")), "toxicity_words")
+    first = found.select("place", "doc_id", "row", "n").orderBy("place", "doc_id", "row").limit(max_rows).collect()  # an id may have several documents
+    size = np.cumsum([8 * r["n"] for r in first])
+    last = int(np.searchsorted(size, max_bytes, side="right")) - 1
+    if last < 0:
+        return None
+    end = first[last]
+    within = F.struct("place", "doc_id", "row") <= F.struct(*[F.lit(end[c]).cast("long") for c in ("place", "doc_id", "row")])
+    rows = sorted((r["doc_id"], r["toxic"], bytes(r["words"])) for r in found.where(within).collect())
     y = np.array([r[1] for r in rows], np.int64)
     if not len(y) or y.min() == y.max():
         return None
@@ -138,7 +149,6 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     n, n_pos = (~held).sum(), y[~held].sum()
     share = n_pos / n
     z = (pos - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
-    lift = (pos + 0.1) / n_pos / ((df - pos + 0.5) / (n - n_pos))
     used = np.flatnonzero((df >= 3) & (np.abs(z) >= 3))
     used = used[np.argsort(-np.abs(z[used]), kind="stable")][:MAX_FEATURES]
     if not len(used):
@@ -146,9 +156,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     place = np.full(len(vocabulary), -1)
     place[used] = np.arange(len(used))
     keep = place[flat] >= 0
-    markers = np.zeros(len(vocabulary), bool)
-    markers[used] = (lift[used] >= 10) & (pos[used] >= 3)
-    count = np.bincount(row, markers[flat], len(y))
+    half = np.fromiter((xxhash.xxh64_intdigest(f"half {r[0]}") % 2 for r in rows), np.int64, len(rows))
+    count = np.zeros(len(y), np.int64)
+    for side in (0, 1):  # markers of one side grade the other
+        other = fit & (half[row] != side)
+        seen, bad = np.bincount(flat[other], minlength=len(vocabulary)), np.bincount(flat[other], y[row[other]], len(vocabulary))
+        k, k_bad = (~held & (half != side)).sum(), y[~held & (half != side)].sum()
+        markers = (bad >= 2) & ((bad + 0.1) / max(k_bad, 1) >= 10 * (seen - bad + 0.5) / max(k - k_bad, 1))
+        count += np.bincount(row, markers[flat] & (half[row] == side), len(y)).astype(np.int64)
     grade = np.where(y == 0, 0, np.select([count <= 1, count <= 3], [1, 2], 3))
     split = np.split(place[flat][keep], np.cumsum(np.bincount(row[keep], minlength=len(y)))[:-1])
     train_rows = np.flatnonzero(~held)
@@ -182,7 +197,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_RO
     severity 0). Labels with null id or label are skipped; of several labels for an id the highest counts. Rows that repeat ids
     and null ids are answered row by row; empty tables give empty results; other columns are not read.
     """
-    model = train(docs, labels, max_rows, id_col, text_col)
+    model = train(docs, labels, max_rows, id_col=id_col, text_col=text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,14 @@
 """Tokenizers against the library; models on held-out data."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rightsloom.llm import bpe, secret_scan, token_counts, toxicity
 from rightsloom.llm.common import tokenizer_path
@@ -158,3 +160,82 @@ def test_secrets_late_in_long_runs(spark):
     x, y = secret_scan.long_findings(1000, 993)
     called = secret_scan.probabilities(m, [f[:3] for f in x]) >= m.threshold
     assert called[y == 1].mean() > 0.95 and called[y == 0].mean() < 0.05
+
+
+def test_scores_against_a_plain_reading(spark, docs, rows):
+    """Probability, severity and verdict of every row from the model's weights, word by word."""
+    made = labelled(500, 8)
+    texts = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string").unionByName(docs.select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
+    labels = spark.createDataFrame([(i, y) for i, _, y in made], "doc_id long, toxic int")
+    m = toxicity.train(texts, labels)
+    want = Counter()
+    for i, t in [(i, t) for i, t, _ in made] + [(None if i is None else i + 10_000, t) for i, t, _ in rows]:
+        eta = sum(m.weights.get(w, 0.0) for w in {w for w in re.split(r"[\W\d_]+", (t or "").lower()) if w})
+        p = [1 / (1 + math.exp(-(eta - c))) for c in m.cuts]
+        want[(i, round(p[0], 6), round(sum(p), 6), p[0] >= m.threshold)] += 1
+    got = toxicity.toxicity(texts, labels).collect()
+    assert Counter((r.doc_id, round(r.p_toxic, 6), round(r.severity, 6), r.toxic) for r in got) == want
+    assert list(m.cuts) == sorted(m.cuts) and any(r.toxic for r in got)
+
+
+def test_training_rows_are_bounded(spark):
+    """Ids that repeat don't multiply the rows, and neither do long texts the bytes."""
+    rows = [(i % 3, f"word{i} text of {'idiot' if i % 2 else 'friend'} and more words") for i in range(900)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, toxic int")
+    seen = []
+    real = toxicity._best_threshold
+    toxicity._best_threshold = lambda p, y: (seen.append(len(y)), real(p, y))[1]
+    try:
+        toxicity.train(texts, labels, max_rows=300)
+        toxicity.train(texts, labels, max_rows=900, max_bytes=8 * 8 * 400)
+    finally:
+        toxicity._best_threshold = real
+    assert all(n <= 400 for n in seen)
+
+
+def independent_secrets(n, seed):
+    """Findings in prose, settings and code by a generator that shares nothing with the training one: (text, start, end)."""
+    r = random.Random(seed)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    s = lambda k, a=alphabet: "".join(r.choice(a) for _ in range(k))
+    forms = [
+        lambda: "glpat-" + s(20), lambda: "npm_" + s(36), lambda: "SG." + s(22) + "." + s(43), lambda: s(40, alphabet + "/+"), lambda: "dop_v1_" + s(64, "0123456789abcdef"), lambda: "pypi-" + s(60),
+        lambda: "key-" + s(32, "0123456789abcdef"), lambda: s(32), lambda: s(24, alphabet[:52]), lambda: "xapp-1-" + s(11, alphabet[26:52]) + "-" + s(12, "0123456789") + "-" + s(40, "0123456789abcdef"), lambda: s(43) + "=", lambda: "hf_" + s(34, alphabet[:52]),
+    ]
+    places = [
+        ("deploy with DEPLOY_AUTH=", " before the job"), ("  credentials: ", "\n  region: eu"), ("curl -H 'X-Auth: ", "' https://api.example.net"), ("I pasted my key ", " in the chat by mistake."), ('const k = "', '";'), ("login machine host account me value ", "\n"),
+    ]
+    out = []
+    for i in range(n):
+        before, after = r.choice(places)
+        key = forms[i % len(forms)]()
+        lead = "Some words come first, then it says:\n" + before
+        out.append((lead + key + after, len(lead), len(lead) + len(key)))
+    return out
+
+
+def test_recall_on_independent_secrets(spark):
+    """Recall of 0.9 or more where the base finds nothing, and few spans in the clean documents of the small table."""
+    found = independent_secrets(600, 4)
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(found)], "doc_id long, text string")
+    got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x] for r in secret_scan.secret_scan(df).collect()}
+    hit = [any(a < e and s < b for a, b in got[i]) for i, (_, s, e) in enumerate(found)]
+    assert sum(hit) >= 0.9 * len(hit)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    extra = secret_scan.secret_scan(docs).agg(F.sum("n_model")).first()[0]
+    assert extra <= 0.02 * docs.count()
+
+
+def test_many_assignments_in_one_text():
+    """Spans and runs are merged in one pass: eight times the text costs some eight times the time."""
+    import time
+
+    took = []
+    for n in (2000, 16_000):
+        text = "\n".join(f"token = abcdef{i:08d}xyz and path/some{i}/file{i}name" for i in range(n))
+        began = time.process_time()
+        base, more = secret_scan.candidates(text)
+        took.append(time.process_time() - began)
+        assert len(base) == n and len(more) == n
+    assert took[1] < 30 * took[0] + 0.2
