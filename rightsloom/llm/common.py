@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,24 +12,37 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from .. import session
 
-__all__ = ["prepare", "WORD", "shared_dir", "written", "bounded_broadcast", "attach_groups", "small", "lower_ascii", "documents", "tokenizer_path"]
+__all__ = ["prepare", "WORD", "shared_dir", "written", "discard", "bounded_broadcast", "attach_groups", "small", "lower_ascii", "documents", "tokenizer_path"]
 
 #: A word: a run without ASCII white space (space, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch, where the session doesn't say: rows hold whole texts, and both sides hold a batch or two.
+BATCH_ROWS = "1000"
+
 _own_dirs: dict[str, str] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Sends the package to the executors, and keeps Arrow batches of texts small unless the session sets their size."""
+    session.prepare(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None and not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests in local mode) an own temporary folder stands in.
+    Only in local mode, where driver and executors are one process, an own temporary folder stands in if it is unset.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="rightsloom_")
@@ -41,7 +55,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rightsloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables that written() gave, once no later plan reads them; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_written_path", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def bounded_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_broadcast, written
+from .common import WORD, bounded_broadcast, discard, written
 
 #: Sources whose plan (under 100 bytes each) is broadcast; more are joined by shuffle.
 MAX_BROADCAST_SOURCES = 200_000
@@ -73,7 +73,8 @@ def newton_dual(sizes: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
         words = F.col("n") * F.col("size")
         slope = rate * (1 - rate / cap) * F.col("size") / F.col("scale")
         sums = sizes.join(now, F.col("source").eqNullSafe(F.col("g_source"))).groupBy("g_source").agg(F.sum(words * rate).alias("taken"), F.sum(words * slope).alias("curve"))
-        plan = written(_stepped(plan.join(sums, F.col("source").eqNullSafe(F.col("g_source")), "left")).select(*plan.columns), "mix_dual")
+        last, plan = plan, written(_stepped(plan.join(sums, F.col("source").eqNullSafe(F.col("g_source")), "left")).select(*plan.columns), "mix_dual")
+        discard(last)
     raise RuntimeError(f"targets not met after {MAX_STEPS} Newton steps")
 
 

@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_groups, bounded_broadcast, prepare, small, written
+from .common import attach_groups, bounded_broadcast, discard, prepare, small, written
 
 WORDS, PERCENT = 4, 85
 #: Text that is hashed at a time, in bytes.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Signatures (16 bytes) that a task gathers before it sends them on, and that a bucket holds on average.
-FLUSH, BUCKET = 1 << 18, 1 << 20
+FLUSH, BUCKET = 1 << 17, 1 << 19
 #: Sets of a task with one signature from which on they make a piece of its tile; members of a signature that a bucket's task holds.
 HOT_IN_TASK, HELD = 64, 4096
 #: Width of the bitmaps that go to tiles, at most. A set's whole bitmap has no bound, see width().
@@ -509,7 +509,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int | None =
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     n = e.count()
     whole = n < EDGES
-    e = written(e.coalesce(n // EDGES + 1).mapInArrow(_stars(EDGES), "u long, v long"), name)
+    first, e = e, written(e.coalesce(n // EDGES + 1).mapInArrow(_stars(EDGES), "u long, v long"), name)
+    discard(first)
     mark, done = None, 0
     while not whole:
         if done == rounds:
@@ -517,12 +518,14 @@ def components(edges: DataFrame, name: str = "components", rounds: int | None =
         done += 1
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")).withColumn("m", F.least("u", "m")), name)
+        used = [e, low]
         large = _hot_join(both, low, "u", "deg", "v", 2 * e.count()).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = written(large.distinct(), name)
         low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")), name)
         few = _hot_join(large, low, "u", "deg", "v", large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         few = few.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         e = written(few.union(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        discard(*used, large, low)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -534,7 +537,9 @@ def components(edges: DataFrame, name: str = "components", rounds: int | None =
 def _merged(comp: DataFrame | None, found: DataFrame) -> DataFrame:
     """Components (node, root) with the links found between them."""
     if comp is None:
-        return written(components(found), "ngram_parts")
+        first = written(components(found), "ngram_parts")
+        discard(found)
+        return first
     named = found
     for c in ("a", "b"):
         of = comp.select(F.col("node").alias(c), F.col("root").alias("r"))
@@ -542,7 +547,9 @@ def _merged(comp: DataFrame | None, found: DataFrame) -> DataFrame:
     new = components(named).withColumnsRenamed({"node": "old", "root": "new"})
     moved = comp.join(new, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
     fresh = new.join(comp, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
-    return written(moved.union(fresh), "ngram_parts")
+    merged = written(moved.union(fresh), "ngram_parts")
+    discard(comp, found)
+    return merged
 
 
 # ---- join
@@ -584,6 +591,7 @@ class Linker:
     def __init__(self, tiles: DataFrame, sets: DataFrame, percent: int):
         self.tiles, self.sets, self.percent = tiles, sets, percent
         self.total = tiles.count()
+        self.used: list[DataFrame] = []
 
     def named(self, comp: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
         """tile, set_id, comp; and of the tiles that hold members of different components: tile, pivot (by turns another member), size."""
@@ -593,7 +601,9 @@ class Linker:
             named = written(named, "ngram_named")
         pivot = F.struct(F.xxhash64("comp", F.lit(turn)).alias("order"), F.col("comp").alias("other"), F.col("set_id").alias("b"))
         groups = named.groupBy("tile").agg(F.min(pivot).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-        return named, written(groups.where("low <> high").drop("low", "high"), "ngram_pivots")
+        groups = written(groups.where("low <> high").drop("low", "high"), "ngram_pivots")
+        self.used = [named, groups]
+        return named, groups
 
     def hooks(self, comp: DataFrame | None, turn: int) -> DataFrame:
         """a, b: each set and one pivot of its tiles, a member of another component."""
@@ -625,6 +635,7 @@ class Linker:
         one, two = (self.sets.select(F.col("set_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
         allowed = pairs.join(one, "a").join(two, "b").select("a", "a_n", "a_bits", "b", "b_n", "b_bits")
         allowed = written(allowed.mapInArrow(_by_bits(self.percent), "a long, b long, part long"), "ngram_allowed")
+        discard(*self.used)  # the pairs are written, less those that can't link
         n = allowed.count()
         if not n:
             return allowed.select("a", "b")
@@ -633,7 +644,9 @@ class Linker:
         members = here(allowed, "a").select("b", "part", "a", "shingles")
         pivots = here(allowed.select("b", "part").distinct(), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "shingles")
         rows = members.union(pivots).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-        return written(rows.mapInArrow(_against_pivot(self.percent), "a long, b long"), "ngram_links")
+        links_ = written(rows.mapInArrow(_against_pivot(self.percent), "a long, b long"), "ngram_links")
+        discard(allowed)
+        return links_
 
 
 def similar_sets(tiles: DataFrame, sets: DataFrame, percent: int, turns: int = 2) -> DataFrame | None:
@@ -689,7 +702,9 @@ def linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     # all columns are read, as for rows: with others, a plan that deals rows out by their values would number them anew
     texts = docs.join(bounded_broadcast(wanted, n, MAX_BROADCAST_IDS), "row")
     sets = written(texts.mapInArrow(_full_sets(words, shared), "set_id long, n long, bits binary, narrow binary, shingles binary"), "ngram_sets")
-    return rows, classes, similar_sets(tiles, sets, percent) if n else None
+    comp = similar_sets(tiles, sets, percent) if n else None
+    discard(tiles, sets, wanted)
+    return rows, classes, comp
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -195,4 +195,4 @@ def test_components_that_still_change_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(nj, "EDGES", 4)
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 60)], "a long, b long")
     with pytest.raises(RuntimeError, match="still change"):
-        nj.components(chain, rounds=2)
+        nj.components(chain, rounds=1)
