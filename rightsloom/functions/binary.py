@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,3 +57,36 @@ def unframe(data: Column) -> Column:
         .otherwise("ok")
     )
     return F.struct(status.alias("status"), F.when(status == "ok", payload).alias("payload"))
+
+
+# ---- the same frames over Python bytes, for kernels
+
+FRAME_HEAD = 11
+
+
+def frame_bytes(payload: bytes) -> bytes:
+    if len(payload) > FRAME_MAX:
+        raise ValueError(f"a frame holds {FRAME_MAX} bytes at most")
+    return bytes.fromhex(FRAME_MAGIC + FRAME_VERSION) + len(payload).to_bytes(4, "little") + zlib.crc32(payload).to_bytes(4, "little") + payload
+
+
+def frame_size(head: bytes) -> tuple[str, int]:
+    """ok and the payload's length, or what is wrong with a frame's head."""
+    if len(head) < FRAME_HEAD:
+        return "too_short", 0
+    if head[:2] != bytes.fromhex(FRAME_MAGIC):
+        return "bad_magic", 0
+    if head[2:3] != bytes.fromhex(FRAME_VERSION):
+        return "bad_version", 0
+    size = int.from_bytes(head[3:7], "little")
+    return ("bad_length", 0) if size > FRAME_MAX else ("ok", size)
+
+
+def unframe_bytes(data: bytes) -> tuple[str, bytes | None]:
+    status, size = frame_size(data)
+    if status != "ok":
+        return status, None
+    payload = data[FRAME_HEAD : FRAME_HEAD + size]
+    if len(payload) < size:
+        return "bad_length", None
+    return ("ok", payload) if zlib.crc32(payload) == int.from_bytes(data[7:11], "little") else ("bad_crc", None)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from ..functions.binary import FRAME_HEAD, frame_bytes, frame_size, unframe_bytes
+
 # Constants of the 64-bit mixer and of tile seeds, copies of each bit per unit of redundancy.
 GOLDEN, MIX_A, MIX_B, TILE_X, TILE_Y = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 SPREAD = 5
@@ -47,20 +49,26 @@ def _slots(bits: int, pixels: np.ndarray, seed: int, redundancy: int, base: int,
     return reserved + permutation(np.arange(base, base + n), capacity(pixels.shape[1], pixels.shape[0]) - reserved, seed)
 
 
-def embed(pixels: np.ndarray, payload: bytes, seed: int, redundancy: int = 1, reserved: int = 0) -> np.ndarray | None:
-    """A copy (height, width, 4) with the payload, or None if it doesn't fit. A value moves by one where its low bit differs:
-    inward at the ends of the range, else up or down by the pixel's place. The first reserved slots stay as they are."""
+def embed_in_place(pixels: np.ndarray, payload: bytes, seed: int, redundancy: int = 1, reserved: int = 0) -> bool:
+    """Puts the payload into pixels (height, width, 4); False, and nothing changed, if it doesn't fit. A value moves by one
+    where its low bit differs: inward at the ends of the range, else up or down by the pixel's place. The first
+    reserved slots stay as they are."""
     h, w = pixels.shape[:2]
     if required(8 * len(payload), redundancy) > capacity(w, h) - reserved:
-        return None
+        return False
     bits = np.repeat(np.unpackbits(np.frombuffer(payload, np.uint8), bitorder="little"), SPREAD * redundancy)
     slot = _slots(8 * len(payload), pixels, seed, redundancy, 0, reserved)
-    out = pixels.copy()
     y, x, channel = slot // 3 // w, slot // 3 % w, slot % 3
-    old = out[y, x, channel].astype(np.int16)
+    old = pixels[y, x, channel].astype(np.int16)
     step = np.where(old == 0, 1, np.where(old == 255, -1, np.where((x * 31 + y * 17) & 1, -1, 1)))
-    out[y, x, channel] = np.where((old & 1) == bits, old, old + step).astype(np.uint8)
-    return out
+    pixels[y, x, channel] = np.where((old & 1) == bits, old, old + step).astype(np.uint8)
+    return True
+
+
+def embed(pixels: np.ndarray, payload: bytes, seed: int, redundancy: int = 1, reserved: int = 0) -> np.ndarray | None:
+    """A copy with the payload, or None if it doesn't fit, see embed_in_place()."""
+    out = pixels.copy()
+    return out if embed_in_place(out, payload, seed, redundancy, reserved) else None
 
 
 def extract(pixels: np.ndarray, n_bytes: int, seed: int, redundancy: int = 1, base: int = 0, reserved: int = 0) -> bytes | None:
@@ -73,6 +81,21 @@ def extract(pixels: np.ndarray, n_bytes: int, seed: int, redundancy: int = 1, ba
     return np.packbits(ones > SPREAD * redundancy // 2, bitorder="little").tobytes()
 
 
+def embed_framed(pixels: np.ndarray, payload: bytes, seed: int, redundancy: int = 1) -> np.ndarray | None:
+    """embed() of the payload in a frame that has its length and checksum, so that a reader needs only the seed."""
+    return embed(pixels, frame_bytes(payload), seed, redundancy)
+
+
+def extract_framed(pixels: np.ndarray, seed: int, redundancy: int = 1) -> tuple[str, bytes | None]:
+    """Status and payload of a frame, see unframe_bytes(): its head is read first, then as much as that says."""
+    head = extract(pixels, FRAME_HEAD, seed, redundancy)
+    status, size = frame_size(head or b"")
+    if status != "ok":
+        return status, None
+    whole = extract(pixels, FRAME_HEAD + size, seed, redundancy)
+    return ("bad_length", None) if whole is None else unframe_bytes(whole)
+
+
 #: Slots that hold the seed.
 SEED_SLOTS = 64
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.binary import container_format
 from ..session import prepare
+from .limits import LIMITS
 
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Fixed value: chunks read of one image at most.
@@ -91,9 +92,9 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FIELDS, strict=True)], schema=_FIELDS)
 
 
-def chunks(files: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+def chunks(files: DataFrame, max_bytes: int = LIMITS["max_input_bytes"]) -> DataFrame:
     """path, format, idx, type, offset, length, data, ok for files (path, content). Size and magic are tested before any
-    Python code sees a file; files of no known format give no rows."""
+    Python code sees a file; files of no known format, or above the limit, give no rows."""
     prepare(files.sparkSession)
     known = files.where(F.octet_length("content") <= max_bytes).withColumn("format", container_format(F.col("content"))).where("format is not null")
     return known.select("path", "format", "content").mapInArrow(_walk, "path string, format string, idx int, type string, offset long, length long, data binary, ok boolean")

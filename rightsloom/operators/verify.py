@@ -16,6 +16,7 @@ from ..functions.binary import container_format
 from ..session import prepare
 from ..sources import png
 from . import carrier, containers, jpeg, notice, payload
+from .limits import LIMITS
 
 TAG = 16
 # Redundancies that are tried, the base of the offset seeds and how many passes there are.
@@ -126,7 +127,7 @@ def verify_notices(files: DataFrame, key: bytes | None = None) -> DataFrame:
     """One row per file (path, content): all notice fields, the policy signals, payload status and evidence strength.
 
     Only a payload with a valid HMAC authenticates. Containers are walked once and pixels or coefficients decoded once per file; files
-    of other formats have no notice.
+    of other formats have no notice. Files above the limit on input aren't read: their strength is InputTooLarge.
     """
     prepare(files.sparkSession)
     found = containers.chunks(files)
@@ -137,12 +138,13 @@ def verify_notices(files: DataFrame, key: bytes | None = None) -> DataFrame:
     xmp = containers.xmp_packets(found).select("path", "pos", *[c.alias(n) for n, c in signals.items()])
     first = lambda n: F.min_by(n, F.when(F.col(n).isNotNull(), F.col("pos"))).alias(n)
     policy = xmp.groupBy("path").agg(*[first(n) for n in signals])
-    marks = files.where(container_format(F.col("content")).isin("png", "jpeg")).select("path", "content").mapInArrow(_payloads(key), "path string, payload_status string, payload binary")
-    out = files.select("path", container_format(F.col("content")).alias("format")).join(fields, "path", "left").join(policy, "path", "left").join(marks, "path", "left")
+    small = F.octet_length("content") <= LIMITS["max_input_bytes"]
+    marks = files.where(small & container_format(F.col("content")).isin("png", "jpeg")).select("path", "content").mapInArrow(_payloads(key), "path string, payload_status string, payload binary")
+    out = files.select("path", container_format(F.col("content")).alias("format"), small.alias("_small")).join(fields, "path", "left").join(policy, "path", "left").join(marks, "path", "left")
     noticed = notice.has_notice([*notice.FIELDS, "rights_url", "dmi"])
     verified = F.coalesce(F.col("payload_status") == "Verified", F.lit(False))
     authenticated = verified & (F.hex(F.substring("payload", 30, 1)) == "03")
-    return out.withColumn("payload_status", F.coalesce("payload_status", F.lit("NotFound"))).withColumns({"authenticated": authenticated, "evidence_strength": notice.notice_strength(noticed, authenticated, verified)})
+    return out.withColumn("payload_status", F.coalesce("payload_status", F.lit("NotFound"))).withColumns({"authenticated": authenticated, "evidence_strength": F.when(F.col("_small"), notice.notice_strength(noticed, authenticated, verified)).otherwise("InputTooLarge")}).drop("_small")
 
 
 def protect_png(data: bytes, pairs: list[tuple[str, str]], seed: int, policy: int, key: bytes | None = None, xmp: str | None = None, redundancy: int = 1) -> bytes:

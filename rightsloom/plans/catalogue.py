@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import binary, ed25519, text, vocab
-from ..operators import carrier, conformance, formats, jpeg, manifests, merge, notice, payload, pixel_cost, resolve, verify, voting
+from ..operators import carrier, conformance, formats, jpeg, limits, manifests, merge, notice, payload, pixel_cost, resolve, verify, voting
 from ..session import prepare
 from ..sources import files, png
 
@@ -644,3 +644,48 @@ def report_strength_table(spark, sf_dir):
     hmac = F.when(n % 5 == 0, "Verified")
     strength = notice.report_strength(n % 2 == 0, marker, hmac, F.lit(True))
     return table(spark, sf_dir, "documents").select("doc_id", strength.alias("strength"), notice.summary_status(marker, n % 2 == 0).alias("summary"))
+
+
+# ---- limits
+
+
+@query(r"""WITH f AS (SELECT page_id, strlen(html) AS bytes, len(regexp_extract_all(html, '<[^/>][^>]*>'))::BIGINT AS tags, strlen(url) AS field FROM pages),
+v AS (SELECT page_id, 'max_input_bytes' AS "limit", bytes AS observed, 9000 AS allowed, 'InputTooLarge' AS error FROM f WHERE bytes > 9000
+ UNION ALL SELECT page_id, 'max_xml_properties', tags, 256, 'ContainerLimitExceeded' FROM f WHERE tags > 256
+ UNION ALL SELECT page_id, 'max_metadata_field_bytes', field, 30, 'MetadataLimitExceeded' FROM f WHERE field > 30)
+SELECT page_id, "limit", observed::BIGINT AS observed, allowed::BIGINT AS allowed, error FROM v""")
+def resource_limits(spark, sf_dir):
+    """Pages whose size, tags or address are above limits, one row for each limit."""
+    facts = {"max_input_bytes": F.octet_length("html"), "max_xml_properties": F.regexp_count("html", F.lit("<[^/>][^>]*>")), "max_metadata_field_bytes": F.octet_length("url")}
+    own = limits.with_limits(max_input_bytes=9000, max_metadata_field_bytes=30)
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(limits.exceeded(facts, own)).alias("x"))
+    return found.select("page_id", "x.limit", "x.observed", "x.allowed", "x.error")
+
+
+@query("""SELECT lang, source, count(*) AS parts, sum(strlen(text))::BIGINT AS part_bytes, max(strlen(text))::BIGINT AS largest_part FROM documents WHERE text IS NOT NULL GROUP BY ALL""")
+def resource_usage(spark, sf_dir):
+    """Work seen by container: here each source's documents of a language are the parts of one."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    parts = d.select(F.struct("lang", "source").alias("path"), F.octet_length("text").cast("long").alias("length"))
+    return limits.usage(parts).select("path.lang", "path.source", "parts", "part_bytes", "largest_part")
+
+
+@query("SELECT doc_id, 'ok' AS status, text AS payload FROM documents WHERE strlen(text) <= 300")
+def framed_pixels(spark, sf_dir):
+    """Short documents through the pixels of an image each: framed, embedded, read back by the seed alone."""
+    prepare(spark)
+
+    def run(frames):
+        import numpy as np
+
+        for f in frames:
+            rows = []
+            for i, t in zip(f["doc_id"], f["text"], strict=True):
+                pixels = np.random.default_rng(int(i)).integers(0, 256, (96, 96, 4), dtype=np.uint8)
+                marked = carrier.embed_framed(pixels, t.encode(), int(i) + 1)
+                status, payload_ = carrier.extract_framed(marked, int(i) + 1)
+                rows.append((status, payload_.decode()))
+            yield f[["doc_id"]].assign(status=[r[0] for r in rows], payload=[r[1] for r in rows])
+
+    short = table(spark, sf_dir, "documents").where(F.octet_length("text") <= 300).select("doc_id", "text")
+    return short.mapInPandas(run, "doc_id long, status string, payload string")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.binary import container_format, format_of_path
 
-# Limits that are tested before a file is parsed.
-MAX_FILE_BYTES, MAX_DIMENSION = 64 << 20, 65_535
+# Fixed value: the limit that is tested before a file is read.
+MAX_FILE_BYTES = 100 << 20
 
 
 def scan_images(spark: SparkSession, path: str, recursive: bool = False, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
