@@ -49,6 +49,12 @@ def _slots(bits: int, pixels: np.ndarray, seed: int, redundancy: int, base: int,
     return reserved + permutation(np.arange(base, base + n), capacity(pixels.shape[1], pixels.shape[0]) - reserved, seed)
 
 
+def _places(slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of slots, the place of each among the bytes of an image of four channels, and its pixel."""
+    pixel, channel = np.divmod(slot.astype(np.uint32), np.uint32(3))
+    return pixel.astype(np.int64) * 4 + channel, pixel
+
+
 def embed_in_place(pixels: np.ndarray, payload: bytes, seed: int, redundancy: int = 1, reserved: int = 0) -> bool:
     """Puts the payload into pixels (height, width, 4); False, and nothing changed, if it doesn't fit. A value moves by one
     where its low bit differs: inward at the ends of the range, else up or down by the pixel's place. The first
@@ -57,11 +63,17 @@ def embed_in_place(pixels: np.ndarray, payload: bytes, seed: int, redundancy: in
     if required(8 * len(payload), redundancy) > capacity(w, h) - reserved:
         return False
     bits = np.repeat(np.unpackbits(np.frombuffer(payload, np.uint8), bitorder="little"), SPREAD * redundancy)
-    slot = _slots(8 * len(payload), pixels, seed, redundancy, 0, reserved)
-    y, x, channel = slot // 3 // w, slot // 3 % w, slot % 3
-    old = pixels[y, x, channel].astype(np.int16)
-    step = np.where(old == 0, 1, np.where(old == 255, -1, np.where((x * 31 + y * 17) & 1, -1, 1)))
-    pixels[y, x, channel] = np.where((old & 1) == bits, old, old + step).astype(np.uint8)
+    place, pixel = _places(_slots(8 * len(payload), pixels, seed, redundancy, 0, reserved))
+    flat = pixels.reshape(-1)
+    if not np.shares_memory(flat, pixels):
+        raise ValueError("pixels must lie in one piece")
+    old = flat[place]
+    y, x = np.divmod(pixel, np.uint32(w))
+    down = ((x + y) & np.uint32(1)).astype(bool)  # 31 x + 17 y is odd where x + y is
+    down &= old != 0
+    down |= old == 255
+    wrong = (old & 1) != bits
+    flat[place] = old + np.where(down, np.uint8(255), np.uint8(1)) * wrong
     return True
 
 
@@ -77,7 +89,7 @@ def extract(pixels: np.ndarray, n_bytes: int, seed: int, redundancy: int = 1, ba
     if base + required(8 * n_bytes, redundancy) > capacity(w, h) - reserved:
         return None
     slot = _slots(8 * n_bytes, pixels, seed, redundancy, base, reserved)
-    ones = (pixels[slot // 3 // w, slot // 3 % w, slot % 3] & 1).reshape(8 * n_bytes, -1).sum(1, dtype=np.int64)
+    ones = (np.ascontiguousarray(pixels).reshape(-1)[_places(slot)[0]] & 1).reshape(8 * n_bytes, -1).sum(1, dtype=np.int64)
     return np.packbits(ones > SPREAD * redundancy // 2, bitorder="little").tobytes()
 
 
