@@ -19,14 +19,13 @@ SLICE = 1 << 18
 FLUSH, BUCKET = 1 << 17, 1 << 19
 #: Sets of a task with one signature from which on they make a piece of its tile; members of a signature that a bucket's task holds.
 HOT_IN_TASK, HELD = 64, 4096
-#: Width of the bitmaps that go to tiles, at most. A set's whole bitmap has no bound, see width().
 BITS = 2048
 #: Members (in MB of shingles) that are checked against one copy of their partner.
 MEMBERS_MB = 8
-#: Members of a tile's block: a task compares two blocks at a time.
-BLOCK = 2048
+#: Members of a tile's block, and elements of theirs in all (a byte of bitmap each at most): a task compares two blocks at a time.
+BLOCK, BLOCK_ELEMENTS = 2048, 8 << 20
 #: Squares of tile sizes, in all, up to which all their pairs are taken at once.
-FEW_PAIRS = 200_000_000
+FEW_PAIRS = 1_000_000
 #: Edges of a graph that a task connects at a time.
 EDGES = 1_000_000
 MAX_BROADCAST_IDS = 2_000_000
@@ -163,8 +162,9 @@ def signatures(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def width(n: int) -> int:
-    """Bits for a set of n: unlike sets of n then differ in about 0.9 n bits or more, partners in 0.25 n at most (at 80 %)."""
-    return max(64, 1 << (2 * n - 1).bit_length())
+    """Bits for a set of n, four to eight for each element: unlike sets of n then differ in 1.5 n bits or more, partners in 0.25 n at
+    most (at 80 %), and few elements that differ are hidden by others."""
+    return max(64, 1 << (4 * n - 1).bit_length())
 
 
 def bitmap(u: np.ndarray, bits: int = BITS) -> bytes:
@@ -257,14 +257,19 @@ def _signature_rows(words: int, percent: int, buckets: int, shared: frozenset[in
     return run
 
 
+def pivot_order(ids: np.ndarray) -> np.ndarray:
+    return mix(ids.view(np.uint64) ^ _ODD[50])
+
+
 def _tiles(bucket: int, most: int):
-    """Tiles (tile, set_id): members of each signature that two sets or more have, from one or more buckets.
+    """Tiles (tile, set_id, hot): members of each signature that two sets or more have, from one or more buckets.
 
-    A tile is named by its members, so that signatures with the same members are one tile. Hot signatures give their
-    own name, and their members go on as they come: no more of one are held than the limit.
+    A tile is named by its pivot, the member whose mixed id is lowest, so that the signatures that a group of similar sets
+    shares are one tile. Hot signatures give their own name here, and their members go on as they come: no more of one
+    are held than the limit.
     """
     name_of = lambda sig: mix(sig ^ _ODD[51]).view(np.int64)
-    batch_of = lambda tile, ids: pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(ids)], ["tile", "set_id"])
+    batch_of = lambda tile, ids, hot: pa.RecordBatch.from_arrays([pa.array(tile.view(np.int64)), pa.array(ids), pa.array(np.full(len(ids), hot))], ["tile", "set_id", "hot"])
 
     def settled(sig, ids, hot):
         """Sorted without repeats; starts and sizes of signatures, and which are hot."""
@@ -291,7 +296,7 @@ def _tiles(bucket: int, most: int):
             for kind, raw in zip(batch.column("kind").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 if kind == PIECE:
                     ids = np.frombuffer(raw, np.int64, offset=8)
-                    yield batch_of(np.repeat(name_of(np.frombuffer(raw, np.uint64, 1)), len(ids)), ids)
+                    yield batch_of(np.repeat(name_of(np.frombuffer(raw, np.uint64, 1)), len(ids)), ids, True)
                     continue
                 half = len(raw) // 2
                 ids = np.frombuffer(raw[half:], np.int64)
@@ -301,7 +306,7 @@ def _tiles(bucket: int, most: int):
                 sig, ids, marked, starts, size = joined()
                 many = np.repeat(size > most, size)
                 if many.any():
-                    yield batch_of(name_of(sig[many]), ids[many])
+                    yield batch_of(name_of(sig[many]), ids[many], True)
                 first = np.zeros(len(sig), bool)
                 first[starts] = True
                 keep = ~many | first
@@ -310,18 +315,19 @@ def _tiles(bucket: int, most: int):
                 limit = max(limit, 2 * count)
         sig, ids, marked, starts, size = joined()
         if len(sig):
-            yield batch_of(name_of(sig[marked]), ids[marked])
-            name = mix(np.add.reduceat(mix(ids.view(np.uint64) ^ _ODD[50]), starts) + size.astype(np.uint64))
-            once = np.zeros(len(starts), bool)
-            once[np.unique(name, return_index=True)[1]] = True
-            keep = np.repeat(once & (size > 1), size) & ~marked
-            yield batch_of(np.repeat(name, size)[keep], ids[keep])
+            yield batch_of(name_of(sig[marked]), ids[marked], True)
+            keep = np.repeat(size > 1, size) & ~marked
+            rank = pivot_order(ids)
+            low = np.minimum.reduceat(rank, starts)
+            pivot = ids[np.flatnonzero(rank == np.repeat(low, size))]  # ids of a signature differ, so do their ranks
+            pairs = np.unique(np.stack([np.repeat(pivot, size)[keep], ids[keep]], 1), axis=0)
+            yield batch_of(pairs[:, 0].copy(), pairs[:, 1].copy(), False)
 
     return run
 
 
 def _full_sets(words: int, shared: frozenset[int]):
-    """Rows (text, set_id): set_id, n, bits, narrow (null where it is bits), shingles."""
+    """Rows (text, set_id): set_id, n, bits, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -329,8 +335,7 @@ def _full_sets(words: int, shared: frozenset[int]):
             if batch.column("set_id").to_pylist() != [set_name(u, shared) for u in sets]:
                 raise RuntimeError("the documents changed between two reads")
             bits = [bitmap(u, width(len(u))) for u in sets]
-            narrow = [folded(np.frombuffer(b, np.uint64), BITS // 64).tobytes() if len(b) > BITS // 8 else None for b in bits]
-            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array([len(u) for u in sets], pa.int64()), *[pa.array(c, pa.binary()) for c in (bits, narrow, [u.tobytes() for u in sets])]], ["set_id", "n", "bits", "narrow", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array([len(u) for u in sets], pa.int64()), *[pa.array(c, pa.binary()) for c in (bits, [u.tobytes() for u in sets])]], ["set_id", "n", "bits", "shingles"])
 
     return run
 
@@ -434,19 +439,20 @@ def _pairs_batch(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in unique], pa.int64()), pa.array([p[1] for p in unique], pa.int64())], ["a", "b"])
 
 
-def _blocks(block: int):
-    """Rows in order of tile: the number of each one's block, at most so many rows of one tile."""
+def _blocks(block: int, elements: int):
+    """Rows in order of tile: the number of each one's block, at most so many rows of one tile, and elements of theirs."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        at, inside, number = None, 0, TaskContext.get().partitionId() << 40
+        at, inside, held, number = None, 0, 0, TaskContext.get().partitionId() << 40
         for b in batches:
             out = []
-            for tile in b.column("tile").to_pylist():
-                if tile != at or inside == block:
-                    at, inside, number = tile, 0, number + 1
+            for tile, n in zip(b.column("tile").to_pylist(), b.column("n").to_pylist(), strict=True):
+                if tile != at or inside == block or held + n > elements:
+                    at, inside, held, number = tile, 0, 0, number + 1
                 inside += 1
+                held += n
                 out.append(number)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "block"])
 
@@ -555,15 +561,25 @@ def _merged(comp: DataFrame | None, found: DataFrame) -> DataFrame:
 # ---- join
 
 def tile_table(docs: DataFrame, total_shingles: int, words: int, percent: int, shared: frozenset[int] = frozenset()) -> DataFrame:
-    """tile, set_id: sets that share a signature."""
-    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """tile, set_id: sets that share a signature, once for each pivot of theirs."""
+    spark = docs.sparkSession
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffles, int(total_shingles * 1.2 * (100 - percent) / percent) // BUCKET)
     packed = docs.mapInArrow(_signature_rows(words, percent, buckets, shared, HOT_IN_TASK), "bucket long, kind int, packed binary")
-    return written(packed.repartition(buckets, "bucket").mapInArrow(_tiles(BUCKET, HELD), "tile long, set_id long").distinct(), "ngram_tiles")
+    tiles = written(packed.repartition(buckets, "bucket").mapInArrow(_tiles(BUCKET, HELD), "tile long, set_id long, hot boolean").distinct(), "ngram_tiles")
+    hot = tiles.where("hot").select("tile", "set_id")
+    total = hot.count()
+    if not total:
+        return tiles.select("tile", "set_id")
+    named = written(hot.groupBy("tile").agg(F.min_by("set_id", F.struct(F.xxhash64("set_id"), "set_id")).alias("pivot"), F.count("*").alias("size")), "ngram_hot")
+    by_pivot = _hot_join(hot, named, "tile", "size", "set_id", total).select(F.col("pivot").alias("tile"), "set_id")
+    out = written(by_pivot.union(tiles.where("not hot").select("tile", "set_id")).distinct(), "ngram_tiles")
+    discard(tiles, named)
+    return out
 
 
 def blocked(members: DataFrame, big: DataFrame, n: int, percent: int) -> DataFrame:
-    """Members of tiles (tile, set_id, comp, n) with block: the n big tiles (of over BLOCK members) become pairs of blocks.
+    """Members of tiles (tile, set_id, comp, n) with block: the n big tiles (of over BLOCK members or BLOCK_ELEMENTS) become pairs of blocks.
 
     Blocks follow sizes, with the tile's largest component apart. Two blocks meet only if their sizes allow a link
     and they don't hold one component alone; each meets itself.
@@ -576,7 +592,7 @@ def blocked(members: DataFrame, big: DataFrame, n: int, percent: int) -> DataFra
     top = large.groupBy("tile", "comp").agg(F.count("*").alias("k")).groupBy("tile").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"))
     large = large.join(bounded_broadcast(top, n, MAX_BROADCAST_IDS), "tile").withColumn("apart", F.col("comp") != F.col("top")).drop("top")
     ordered = large.repartitionByRange("tile", "apart", "n", "set_id").sortWithinPartitions("tile", "apart", "n", "set_id")
-    large = written(ordered.mapInArrow(_blocks(BLOCK), "tile long, set_id long, comp long, n long, apart boolean, block long").drop("apart"), "ngram_blocks")
+    large = written(ordered.mapInArrow(_blocks(BLOCK, BLOCK_ELEMENTS), "tile long, set_id long, comp long, n long, apart boolean, block long").drop("apart"), "ngram_blocks")
     ranges = written(large.groupBy("tile", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c"), F.max("comp").alias("d")), "ngram_ranges")
     x, y = (ranges.select("tile", *[F.col(c).alias(f"{p}_{c}") for c in ("block", "lo", "hi", "c", "d")]) for p in "xy")
     meet = f"x_block <= y_block and 100 * x_hi >= {percent} * y_lo and 100 * y_hi >= {percent} * x_lo and not (x_c = x_d and y_c = y_d and x_c = y_c)"
@@ -586,7 +602,7 @@ def blocked(members: DataFrame, big: DataFrame, n: int, percent: int) -> DataFra
 
 
 class Linker:
-    """Links between sets that share tiles. tiles: tile, set_id; sets: set_id, n, bits, narrow, shingles."""
+    """Links between sets that share tiles. tiles: tile, set_id; sets: set_id, n, bits, shingles."""
 
     def __init__(self, tiles: DataFrame, sets: DataFrame, percent: int):
         self.tiles, self.sets, self.percent = tiles, sets, percent
@@ -612,18 +628,17 @@ class Linker:
         return near.groupBy(F.col("set_id").alias("a")).agg(F.min("pivot").alias("pivot")).select("a", "pivot.b")
 
     def met(self, comp: DataFrame | None, forest: bool | None) -> tuple[DataFrame, bool]:
-        """a, b: pairs of different components that their tiles' narrow bitmaps allow, see _tile_pairs(); and whether they
+        """a, b: pairs of different components that their tiles' bitmaps allow, see _tile_pairs(); and whether they
         are no more than a forest. forest None: all pairs, if tiles have few, else a forest."""
         named, groups = self.named(comp, 0)
-        work, big = groups.agg(F.sum(F.expr("cast(size as double) * size")), F.count_if(F.col("size") > BLOCK)).first()
+        work = groups.agg(F.sum(F.expr("cast(size as double) * size"))).first()[0]
         forest = (work or 0) > FEW_PAIRS if forest is None else forest
-        narrow = self.sets.select("set_id", "n", F.coalesce("narrow", "bits").alias("bits"))
         members = _hot_join(named, groups.drop("pivot"), "tile", "size", "set_id", self.total).where("size is not null").drop("size")
-        members = members.join(narrow.select("set_id", "n"), "set_id").select("tile", "set_id", "comp", "n")
-        if big:
-            members = written(members, "ngram_members")
-        members = blocked(members, groups.where(F.col("size") > BLOCK).select("tile"), big, self.percent)
-        tiled = members.join(narrow.select("set_id", "bits"), "set_id").select("tile", "set_id", "comp", "n", "block", "bits")
+        members = written(members.join(self.sets.select("set_id", "n"), "set_id").select("tile", "set_id", "comp", "n"), "ngram_members")
+        big = members.groupBy("tile").agg(F.count("*").alias("size"), F.sum("n").alias("elements")).where((F.col("size") > BLOCK) | (F.col("elements") > BLOCK_ELEMENTS))
+        big = written(big.select("tile"), "ngram_big")
+        self.used += [members, big]
+        tiled = blocked(members, big, big.count(), self.percent).join(self.sets.select("set_id", "bits"), "set_id").select("tile", "set_id", "comp", "n", "block", "bits")
         tiled = tiled.repartition("tile").sortWithinPartitions("tile", "set_id")
         return tiled.mapInArrow(_tile_pairs(self.percent, forest), "a long, b long").distinct(), forest
 
@@ -649,21 +664,25 @@ class Linker:
         return links_
 
 
-def similar_sets(tiles: DataFrame, sets: DataFrame, percent: int, turns: int = 2) -> DataFrame | None:
+def similar_sets(tiles: DataFrame, sets: DataFrame, percent: int, turns: int = 6) -> DataFrame | None:
     """node, root: components of sets by links. None without any link.
 
-    First every set is checked against one pivot of its tiles, by turns, and what links becomes one component: a large
-    group of near copies is joined by as many checks as it has members. Then only tiles with members of different
-    components matter. Their pairs that bitmaps allow are all checked, so that no link between components is missed;
-    where tiles may have very many, so many pairs that they connect each tile come before, until that adds nothing.
+    First every set is checked against one pivot of its tiles, by turns while that joins many, and what links becomes
+    one component: a large group of near copies is joined by as many checks as it has members. Then only tiles with
+    members of different components matter. Their pairs that bitmaps allow are all checked, so that no link between
+    components is missed; where tiles may have very many, so many pairs that they connect each tile come before,
+    until that adds nothing.
     """
     linker = Linker(tiles, sets, percent)
-    comp = None
+    comp, n = None, sets.count()
     for turn in range(turns):
         found = linker.exact(linker.hooks(comp, turn))
-        if not found.limit(1).count():
+        k = found.count()
+        if not k:
             break
         comp = _merged(comp, found)
+        if 100 * k < n:
+            break
     forest: bool | None = None
     while True:
         pairs, forest = linker.met(comp, forest)
@@ -701,7 +720,7 @@ def linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     n = wanted.count()
     # all columns are read, as for rows: with others, a plan that deals rows out by their values would number them anew
     texts = docs.join(bounded_broadcast(wanted, n, MAX_BROADCAST_IDS), "row")
-    sets = written(texts.mapInArrow(_full_sets(words, shared), "set_id long, n long, bits binary, narrow binary, shingles binary"), "ngram_sets")
+    sets = written(texts.mapInArrow(_full_sets(words, shared), "set_id long, n long, bits binary, shingles binary"), "ngram_sets")
     comp = similar_sets(tiles, sets, percent) if n else None
     discard(tiles, sets, wanted)
     return rows, classes, comp
