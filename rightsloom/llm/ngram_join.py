@@ -756,12 +756,17 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def is_table(df: DataFrame) -> bool:
+    """Whether df is a table of files as it was read: then its rows have the same partitions and places whenever it is read."""
+    return df._jdf.queryExecution().optimizedPlan().toString().startswith("Relation [")
+
+
 def first_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest id (null ids come last), of rows with one id that of the
     lowest row key. Rows that link with nothing all stay, whatever their ids, and so do rows without words.
 
-    docs is written with a key of each row, so that a verdict holds for a row and not for all that share its id. Texts
-    are not shuffled while the rows that go are within the bound of a broadcast. Columns of any name pass through; an
+    A verdict holds for a row, by its place in the table, and not for all that share its id; docs that aren't a table as it
+    was read are written first, for another plan may number its rows anew. Texts are not shuffled while the rows that go are within the bound of a broadcast. Columns of any name pass through; an
     empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -769,7 +774,9 @@ def first_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, i
     key = "_row"
     while key in docs.columns:
         key = "_" + key
-    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "ngram_keyed")
+    keyed = docs.withColumn(key, F.monotonically_increasing_id())
+    if not is_table(docs):
+        keyed = written(keyed, "ngram_keyed")
     narrow = keyed.select(F.col(key).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows, sets, comp = linked_sets(narrow, words, percent)
     rows = rows.where("n > 0")

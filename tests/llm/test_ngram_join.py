@@ -196,3 +196,14 @@ def test_components_that_still_change_are_an_error(spark, monkeypatch):
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 60)], "a long, b long")
     with pytest.raises(RuntimeError, match="still change"):
         nj.components(chain, rounds=1)
+
+
+def test_tables_as_read_need_no_copy(spark, docs, monkeypatch):
+    """A table of many files keeps its rows' places between reads of different columns; other plans are written first."""
+    names = []
+    real = nj.written
+    monkeypatch.setattr(nj, "written", lambda df, name: (names.append(name), real(df, name))[1])
+    assert nj.is_table(docs) and not nj.is_table(docs.repartition(2)) and not nj.is_table(docs.where("doc_id > 3"))
+    from_table = Counter(tuple(r) for r in nj.first_of_each(docs).collect())
+    assert "ngram_keyed" not in names
+    assert Counter(r.doc_id for r in nj.first_of_each(docs.repartition(2)).collect()) == Counter(r[0] for r in from_table.elements()) and "ngram_keyed" in names
