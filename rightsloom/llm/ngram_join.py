@@ -22,10 +22,8 @@ HOT_IN_TASK, HELD = 64, 4096
 BITS = 2048
 #: Members (in MB of shingles) that are checked against one copy of their partner.
 MEMBERS_MB = 8
-#: Members of a tile's block, and elements of theirs in all (a byte of bitmap each at most): a task compares two blocks at a time.
-BLOCK, BLOCK_ELEMENTS = 2048, 8 << 20
-#: Squares of tile sizes, in all, up to which all their pairs are taken at once.
-FEW_PAIRS = 1_000_000
+#: Members of a tile's block, and elements of theirs in all (8 bytes each): a task compares two blocks at a time.
+BLOCK, BLOCK_ELEMENTS = 2048, 2 << 20
 #: Edges of a graph that a task connects at a time.
 EDGES = 1_000_000
 MAX_BROADCAST_IDS = 2_000_000
@@ -387,49 +385,78 @@ def _against_pivot(percent: int):
     return run
 
 
-def _tile_pairs(percent: int, forest: bool):
-    """Rows come by tile. Pairs of a tile's members from different components (and blocks, in a tile of two) whose
-    bitmaps allow a link: all of them, or only so many that they connect what all of them connect."""
+def _allowed(comp: np.ndarray, n: np.ndarray, block: np.ndarray, bits: list[np.ndarray], percent: int):
+    """Members of a tile by size: the place of each one, and of those after it from other components (and blocks, in a
+    tile of two) whose bitmaps allow a link. comp is read anew for each."""
+    two = (block != block[0]).any()
+    size = np.array([len(x) for x in bits])
+    tables = {}  # width in words: all rows of that width or the next, folded to it
+    for w in np.unique(size).tolist():
+        at = np.flatnonzero((size == w) | (size == 2 * w))
+        tables[w] = (at[0], np.stack([bits[i] if size[i] == w else folded(bits[i], w) for i in at]))
+    ends = np.searchsorted(n, 100 * n // percent, side="right")
+    for i in range(len(n) - 1):
+        first, table = tables[int(size[i])]
+        j = np.arange(i + 1, max(i + 1, min(int(ends[i]), first + len(table))))
+        j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) if two else True)]
+        if len(j):
+            j = j[may_link(n[j], n[i], table[j - first], table[i - first], percent)]
+        if len(j):
+            yield i, j
+
+
+def _by_tile(batches, last: str, compare) -> Iterator[list]:
+    """Rows come by tile: what compare(tile, rows by size) gives, some thousand at a time."""
+    at, rows, out = None, [], []
+    for b in (x for batch in batches for x in small([batch])):
+        for tile, *row in zip(*[b.column(c).to_pylist() for c in ("tile", "set_id", "comp", "n", "block", last)], strict=True):
+            if tile != at and rows:
+                out += compare(at, sorted(rows, key=lambda r: r[2]))
+                rows = []
+            at = tile
+            rows.append(row)
+            if len(out) > 10_000:
+                yield out
+                out = []
+    if rows:
+        out += compare(at, sorted(rows, key=lambda r: r[2]))
+    yield out
+
+
+def _tile_members(percent: int):
+    """Rows by tile (bits): tile, set_id, comp, block of those whose bitmap allows a link with a member of another component."""
+
+    def compare(tile, rows):
+        ids, comp, n, block = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        hit = np.zeros(len(rows), bool)
+        for i, j in _allowed(comp, n, block, [np.frombuffer(r[4], np.uint64) for r in rows], percent):
+            hit[i] = hit[j] = True
+        return [(tile, *rows[i][:2], rows[i][3]) for i in np.flatnonzero(hit).tolist()]
+
+    def run(batches):
+        for out in _by_tile(batches, "bits", compare):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], ["tile", "set_id", "comp", "block"])
+
+    return run
+
 
-    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        rows.sort(key=lambda r: r[2])
+def _tile_links(percent: int):
+    """Rows by tile (shingles): links (a, b) that connect what all links of a tile's members connect; two members of one component aren't checked."""
+
+    def compare(tile, rows):
         ids, comp, n, block = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-        two = (block != block[0]).any()
-        size = np.array([len(r[4]) // 8 for r in rows])
-        bits, found = {}, []  # width in words: all rows of that width or the next, folded to it
-        for w in np.unique(size).tolist():
-            at = np.flatnonzero((size == w) | (size == 2 * w))
-            bits[w] = (at[0], np.stack([np.frombuffer(rows[i][4], np.uint64) if size[i] == w else folded(np.frombuffer(rows[i][4], np.uint64), w) for i in at]))
-        ends = np.searchsorted(n, 100 * n // percent, side="right")
-        for i in range(len(ids) - 1):
-            first, table = bits[int(size[i])]
-            j = np.arange(i + 1, max(i + 1, min(int(ends[i]), first + len(table))))
-            j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) if two else True)]
-            if len(j):
-                j = j[may_link(n[j], n[i], table[j - first], table[i - first], percent)]
-            if len(j):
-                if forest:
-                    parts, one = np.unique(comp[j], return_index=True)
-                    comp[np.isin(comp, parts)] = comp[i]
-                    j = j[one]
-                found += [(min(ids[i], ids[x]), max(ids[i], ids[x])) for x in j]
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        found = []
+        for i, j in _allowed(comp, n, block, [np.frombuffer(bitmap(u, width(len(u))), np.uint64) for u in sets], percent):
+            for x in j.tolist():
+                if comp[x] != comp[i] and links(sets[i], sets[x], percent):
+                    found.append((min(ids[i], ids[x]), max(ids[i], ids[x])))
+                    comp[comp == comp[x]] = comp[i]
         return found
 
     def run(batches):
-        at, rows, out = None, [], []
-        for b in batches:
-            for tile, *row in zip(*[b.column(c).to_pylist() for c in ("tile", "set_id", "comp", "n", "block", "bits")], strict=True):
-                if tile != at and rows:
-                    out += compare(rows)
-                    rows = []
-                at = tile
-                rows.append(row)
-                if len(out) > 10_000:
-                    yield _pairs_batch(out)
-                    out = []
-        if rows:
-            out += compare(rows)
-        yield _pairs_batch(out)
+        for out in _by_tile(batches, "shingles", compare):
+            yield _pairs_batch(out)
 
     return run
 
@@ -579,7 +606,7 @@ def tile_table(docs: DataFrame, total_shingles: int, words: int, percent: int, s
 
 
 def blocked(members: DataFrame, big: DataFrame, n: int, percent: int) -> DataFrame:
-    """Members of tiles (tile, set_id, comp, n) with block: the n big tiles (of over BLOCK members or BLOCK_ELEMENTS) become pairs of blocks.
+    """Members of tiles (tile, set_id, comp, n, bits) with block: the n big tiles (of over BLOCK members or BLOCK_ELEMENTS) become pairs of blocks.
 
     Blocks follow sizes, with the tile's largest component apart. Two blocks meet only if their sizes allow a link
     and they don't hold one component alone; each meets itself.
@@ -592,7 +619,7 @@ def blocked(members: DataFrame, big: DataFrame, n: int, percent: int) -> DataFra
     top = large.groupBy("tile", "comp").agg(F.count("*").alias("k")).groupBy("tile").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"))
     large = large.join(bounded_broadcast(top, n, MAX_BROADCAST_IDS), "tile").withColumn("apart", F.col("comp") != F.col("top")).drop("top")
     ordered = large.repartitionByRange("tile", "apart", "n", "set_id").sortWithinPartitions("tile", "apart", "n", "set_id")
-    large = written(ordered.mapInArrow(_blocks(BLOCK, BLOCK_ELEMENTS), "tile long, set_id long, comp long, n long, apart boolean, block long").drop("apart"), "ngram_blocks")
+    large = written(ordered.mapInArrow(_blocks(BLOCK, BLOCK_ELEMENTS), "tile long, set_id long, comp long, n long, bits binary, apart boolean, block long").drop("apart"), "ngram_blocks")
     ranges = written(large.groupBy("tile", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c"), F.max("comp").alias("d")), "ngram_ranges")
     x, y = (ranges.select("tile", *[F.col(c).alias(f"{p}_{c}") for c in ("block", "lo", "hi", "c", "d")]) for p in "xy")
     meet = f"x_block <= y_block and 100 * x_hi >= {percent} * y_lo and 100 * y_hi >= {percent} * x_lo and not (x_c = x_d and y_c = y_d and x_c = y_c)"
@@ -607,40 +634,47 @@ class Linker:
     def __init__(self, tiles: DataFrame, sets: DataFrame, percent: int):
         self.tiles, self.sets, self.percent = tiles, sets, percent
         self.total = tiles.count()
-        self.used: list[DataFrame] = []
 
-    def named(self, comp: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
-        """tile, set_id, comp; and of the tiles that hold members of different components: tile, pivot (by turns another member), size."""
-        named = self.tiles.withColumn("comp", F.col("set_id"))
+    def mixed(self, comp: DataFrame | None, turn: int) -> DataFrame:
+        """tile, set_id, comp, pivot (by turns another member): of tiles that hold members of different components. Components
+        only grow, so from now on no other tiles are read."""
+        named = self.tiles.select("tile", "set_id", F.col("set_id").alias("comp"))
         if comp is not None:
-            named = self.tiles.join(comp, F.col("set_id") == F.col("node"), "left").select("tile", "set_id", F.coalesce("root", "set_id").alias("comp"))
+            named = named.drop("comp").join(comp, F.col("set_id") == F.col("node"), "left").select("tile", "set_id", F.coalesce("root", "set_id").alias("comp"))
             named = written(named, "ngram_named")
         pivot = F.struct(F.xxhash64("comp", F.lit(turn)).alias("order"), F.col("comp").alias("other"), F.col("set_id").alias("b"))
         groups = named.groupBy("tile").agg(F.min(pivot).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
         groups = written(groups.where("low <> high").drop("low", "high"), "ngram_pivots")
-        self.used = [named, groups]
-        return named, groups
+        live = _hot_join(named, groups, "tile", "size", "set_id", self.total).where("size is not null").drop("size")
+        live = written(live, "ngram_live")
+        discard(self.tiles, named, groups)
+        self.tiles, self.total = live, live.count()
+        return live
 
     def hooks(self, comp: DataFrame | None, turn: int) -> DataFrame:
         """a, b: each set and one pivot of its tiles, a member of another component."""
-        named, groups = self.named(comp, turn)
-        near = _hot_join(named, groups, "tile", "size", "set_id", self.total).where("comp <> pivot.other")
+        near = self.mixed(comp, turn).where("comp <> pivot.other")
         return near.groupBy(F.col("set_id").alias("a")).agg(F.min("pivot").alias("pivot")).select("a", "pivot.b")
 
-    def met(self, comp: DataFrame | None, forest: bool | None) -> tuple[DataFrame, bool]:
-        """a, b: pairs of different components that their tiles' bitmaps allow, see _tile_pairs(); and whether they
-        are no more than a forest. forest None: all pairs, if tiles have few, else a forest."""
-        named, groups = self.named(comp, 0)
-        work = groups.agg(F.sum(F.expr("cast(size as double) * size"))).first()[0]
-        forest = (work or 0) > FEW_PAIRS if forest is None else forest
-        members = _hot_join(named, groups.drop("pivot"), "tile", "size", "set_id", self.total).where("size is not null").drop("size")
-        members = written(members.join(self.sets.select("set_id", "n"), "set_id").select("tile", "set_id", "comp", "n"), "ngram_members")
+    def between(self, comp: DataFrame | None) -> DataFrame:
+        """Links (a, b) between different components that connect what all links of the tiles connect.
+
+        Bitmaps tell which members of each tile may have a link to another component. Those come again with their
+        shingles, and each tile connects its members by exact checks: one pass, however near to the threshold they are.
+        """
+        live = self.mixed(comp, 0).select("tile", "set_id", "comp")
+        members = written(live.join(self.sets.select("set_id", "n", "bits"), "set_id").select("tile", "set_id", "comp", "n", "bits"), "ngram_members")
         big = members.groupBy("tile").agg(F.count("*").alias("size"), F.sum("n").alias("elements")).where((F.col("size") > BLOCK) | (F.col("elements") > BLOCK_ELEMENTS))
         big = written(big.select("tile"), "ngram_big")
-        self.used += [members, big]
-        tiled = blocked(members, big, big.count(), self.percent).join(self.sets.select("set_id", "bits"), "set_id").select("tile", "set_id", "comp", "n", "block", "bits")
+        tiled = blocked(members, big, big.count(), self.percent).select("tile", "set_id", "comp", "n", "block", "bits")
         tiled = tiled.repartition("tile").sortWithinPartitions("tile", "set_id")
-        return tiled.mapInArrow(_tile_pairs(self.percent, forest), "a long, b long").distinct(), forest
+        chosen = written(tiled.mapInArrow(_tile_members(self.percent), "tile long, set_id long, comp long, block long"), "ngram_chosen")
+        discard(members, big, live)
+        full = chosen.join(self.sets.select("set_id", "n", "shingles"), "set_id").select("tile", "set_id", "comp", "n", "block", "shingles")
+        full = full.repartition("tile").sortWithinPartitions("tile", "set_id")
+        found = written(full.mapInArrow(_tile_links(self.percent), "a long, b long").distinct(), "ngram_links")
+        discard(chosen)
+        return found
 
     def exact(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link: by whole bitmaps, then by intersecting sorted arrays.
@@ -650,7 +684,6 @@ class Linker:
         one, two = (self.sets.select(F.col("set_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
         allowed = pairs.join(one, "a").join(two, "b").select("a", "a_n", "a_bits", "b", "b_n", "b_bits")
         allowed = written(allowed.mapInArrow(_by_bits(self.percent), "a long, b long, part long"), "ngram_allowed")
-        discard(*self.used)  # the pairs are written, less those that can't link
         n = allowed.count()
         if not n:
             return allowed.select("a", "b")
@@ -669,9 +702,8 @@ def similar_sets(tiles: DataFrame, sets: DataFrame, percent: int, turns: int = 6
 
     First every set is checked against one pivot of its tiles, by turns while that joins many, and what links becomes
     one component: a large group of near copies is joined by as many checks as it has members. Then only tiles with
-    members of different components matter. Their pairs that bitmaps allow are all checked, so that no link between
-    components is missed; where tiles may have very many, so many pairs that they connect each tile come before,
-    until that adds nothing.
+    members of different components matter, and each connects its own by exact checks, so that no link between
+    components is missed.
     """
     linker = Linker(tiles, sets, percent)
     comp, n = None, sets.count()
@@ -683,16 +715,8 @@ def similar_sets(tiles: DataFrame, sets: DataFrame, percent: int, turns: int = 6
         comp = _merged(comp, found)
         if 100 * k < n:
             break
-    forest: bool | None = None
-    while True:
-        pairs, forest = linker.met(comp, forest)
-        found = linker.exact(pairs)
-        some = found.limit(1).count()
-        if some:
-            comp = _merged(comp, found)
-        if not forest:  # all were checked
-            return comp
-        forest = None if some else False
+    found = linker.between(comp)
+    return _merged(comp, found) if found.limit(1).count() else comp
 
 
 def linked_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:

@@ -135,6 +135,25 @@ def test_many_near_copies_cost_their_number(spark):
     assert sum(pairs) <= 4 * len(rows)
 
 
+def test_group_of_unequal_near_copies_is_joined_once(spark, monkeypatch):
+    """Copies changed in few or many places, with many pairs just below the threshold: their tiles' members meet once, whatever fails there."""
+    r = random.Random(12)
+    base = prose(r, 150).split()
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for k in r.sample(range(len(words)), r.randint(1, 9)):
+            words[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(words)))
+    names = []
+    real = nj.written
+    monkeypatch.setattr(nj, "written", lambda df, name: (names.append(name), real(df, name))[1])
+    monkeypatch.setattr(nj, "FEW_PAIRS", 0, raising=False)
+    got = Counter(tuple(x) for x in nj.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == plain_components(rows)
+    assert names.count("ngram_members") == 1
+
+
 @pytest.mark.parametrize("percent", [80, 85, 90])
 @pytest.mark.parametrize("size", [1, 2, 6, 7, 20, 54, 55, 63, 64, 75, 76, 110, 127, 128, 150, 400, 1500, 6000])
 def test_similar_sets_share_a_signature(size, percent):
