@@ -21,16 +21,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of an Arrow batch, where the session doesn't say: rows hold whole texts, and both sides hold a batch or two.
 BATCH_ROWS = "1000"
+#: Bytes of an Arrow batch, where the session has Spark's own 64 MB: the JVM holds buffers of it outside its heap for each task.
+BATCH_BYTES, SPARKS_BYTES = "4m", "67108864b"
 
 _own_dirs: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sends the package to the executors, and keeps Arrow batches of texts small unless the session sets their size."""
+    """Sends the package to the executors, and keeps Arrow batches of texts small (rows and bytes) unless the session sets their size."""
     session.prepare(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, None) is None and not spark.sparkContext.getConf().contains(key):
         spark.conf.set(key, BATCH_ROWS)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, SPARKS_BYTES) == SPARKS_BYTES and not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

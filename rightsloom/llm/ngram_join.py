@@ -16,7 +16,7 @@ WORDS, PERCENT = 4, 85
 #: Text that is hashed at a time, in bytes.
 SLICE = 1 << 18
 #: Signatures (16 bytes) that a task gathers before it sends them on, and that a bucket holds on average.
-FLUSH, BUCKET = 1 << 17, 1 << 19
+FLUSH, BUCKET = 1 << 17, 1 << 18
 #: Sets of a task with one signature from which on they make a piece of its tile; members of a signature that a bucket's task holds.
 HOT_IN_TASK, HELD = 64, 4096
 BITS = 2048

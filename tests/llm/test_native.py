@@ -5,10 +5,11 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rightsloom.llm import exact_dedup, licenses, mixing
+from rightsloom.llm import common, exact_dedup, licenses, mixing
 from rightsloom.llm.common import attach_groups
 
 
@@ -184,3 +185,20 @@ def test_wrapped_and_scattered_licenses(spark):
     rows = [(1, "x = 1\n\n" + mit), (2, bsd), (3, scattered), (4, "before " * 500 + mit.replace("\n# ", " ") + " after" * 700), (5, "free of charge\n" * 40)]
     got = {r.doc_id: (r.labels, r.n_blocks) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("mit", 1), 2: ("bsd", 1), 3: ("", 0), 4: ("mit", 1), 5: ("", 0)}
+
+
+def test_long_texts_come_in_small_arrow_batches(spark):
+    """Four megabytes or so at a time, however many rows; a session's own size stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        common.prepare(spark)
+        docs = spark.range(300, numPartitions=1).selectExpr("repeat('x', 100000) AS text")
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+        assert sum(r.n for r in sizes) >= 30_000_000 and max(r.n for r in sizes) < 8_000_000
+        spark.conf.set(key, "1m")
+        common.prepare(spark)
+        assert spark.conf.get(key) in ("1m", "1048576b")
+    finally:
+        spark.conf.set(key, before)
